@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 import tempfile
 import types
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +28,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shared_table(df: DataFrame) -> DataFrame:
+    """As ``checkpointed``, but as a compressed Parquet table; for larger frames."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def text_key(doc_id: str, text: str) -> Column:
     """64-bit key of a row's id and whole text; equal rows share it."""
     return F.xxhash64(F.col(doc_id), F.col(text))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import decontaminate, packing, quality, secrets, sharding, simhash
+from lodestar.llm import decontaminate, packing, quality, secrets, sharding, simhash, suffixes
 from lodestar.llm.common import documents
 
 SHARDS = [f"shard-{k:03d}" for k in range(64)]
@@ -30,6 +30,10 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(documents(spark, sf_dir))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(documents(spark, sf_dir))
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -38,6 +42,6 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
-QUERIES = {q.__name__: q for q in (op1_sharding, op2_quality_rules, op3_secret_scan, op4_simhash_near_dedup, op8_benchmark_decontamination, op9_packing)}
+QUERIES = {q.__name__: q for q in (op1_sharding, op2_quality_rules, op3_secret_scan, op4_simhash_near_dedup, op6_suffix_dedup, op8_benchmark_decontamination, op9_packing)}
 
 ORACLE_SQL: dict[str, str] = {}
