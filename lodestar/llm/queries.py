@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import decontaminate, packing, quality, secrets, sharding, simhash, suffixes
+from lodestar.llm import chaining, decontaminate, packing, quality, secrets, sharding, simhash, suffixes
 from lodestar.llm.common import documents
 
 SHARDS = [f"shard-{k:03d}" for k in range(64)]
@@ -42,6 +42,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
-QUERIES = {q.__name__: q for q in (op1_sharding, op2_quality_rules, op3_secret_scan, op4_simhash_near_dedup, op6_suffix_dedup, op8_benchmark_decontamination, op9_packing)}
+def op10_fuzzy_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chaining.fuzzy_passages(documents(spark, sf_dir))
+
+
+QUERIES = {q.__name__: q for q in (op1_sharding, op2_quality_rules, op3_secret_scan, op4_simhash_near_dedup, op6_suffix_dedup, op8_benchmark_decontamination, op9_packing, op10_fuzzy_passages)}
 
 ORACLE_SQL: dict[str, str] = {}
