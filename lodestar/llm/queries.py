@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import chaining, decontaminate, packing, quality, secrets, sharding, simhash, suffixes
+from lodestar.llm import chaining, decontaminate, packing, pii, quality, secrets, sharding, simhash, suffixes
 from lodestar.llm.common import documents
 
 SHARDS = [f"shard-{k:03d}" for k in range(64)]
@@ -34,6 +34,13 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(documents(spark, sf_dir))
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.scan(documents(spark, sf_dir))
+    return found.select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_context"
+    )
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -46,6 +53,6 @@ def op10_fuzzy_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chaining.fuzzy_passages(documents(spark, sf_dir))
 
 
-QUERIES = {q.__name__: q for q in (op1_sharding, op2_quality_rules, op3_secret_scan, op4_simhash_near_dedup, op6_suffix_dedup, op8_benchmark_decontamination, op9_packing, op10_fuzzy_passages)}
+QUERIES = {q.__name__: q for q in (op1_sharding, op2_quality_rules, op3_secret_scan, op4_simhash_near_dedup, op6_suffix_dedup, op7_personal_data, op8_benchmark_decontamination, op9_packing, op10_fuzzy_passages)}
 
 ORACLE_SQL: dict[str, str] = {}
