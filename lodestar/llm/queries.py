@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import chaining, decontaminate, packing, pii, quality, secrets, sharding, simhash, suffixes
+from lodestar.llm import chaining, chat, decontaminate, packing, pii, quality, secrets, sharding, simhash, suffixes
 from lodestar.llm.common import documents
 
 SHARDS = [f"shard-{k:03d}" for k in range(64)]
@@ -30,6 +30,11 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(documents(spark, sf_dir))
 
 
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return chat.recover(conversations, chat.fit(conversations))
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(documents(spark, sf_dir))
 
@@ -53,6 +58,6 @@ def op10_fuzzy_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chaining.fuzzy_passages(documents(spark, sf_dir))
 
 
-QUERIES = {q.__name__: q for q in (op1_sharding, op2_quality_rules, op3_secret_scan, op4_simhash_near_dedup, op6_suffix_dedup, op7_personal_data, op8_benchmark_decontamination, op9_packing, op10_fuzzy_passages)}
+QUERIES = {q.__name__: q for q in (op1_sharding, op2_quality_rules, op3_secret_scan, op4_simhash_near_dedup, op5_chat_formatting, op6_suffix_dedup, op7_personal_data, op8_benchmark_decontamination, op9_packing, op10_fuzzy_passages)}
 
 ORACLE_SQL: dict[str, str] = {}
