@@ -11,7 +11,9 @@ end the pieces of the last, unfilled sequence of each class, meet.
 
 from __future__ import annotations
 
+import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,37 +41,69 @@ class WordEncoder:
 
     The tokenizer splits a text into words before it merges, and a word begins
     at every single space between two characters that are not white space.  So
-    a text may be cut there, and each part encoded once and kept.
+    a text may be cut there, and each part encoded once and kept.  Texts with
+    other white space around a space are encoded whole.
     """
 
     def __init__(self, path: str, max_words: int = MAX_CACHED_WORDS):
-        import regex
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.max_words = max_words
-        self.words: dict[str, bytes] = {}
-        self.odd = regex.compile(r"\s[ ]|[ ]\s|^[ ]|[ ]$").search
+        self.words: dict[str, bytes] = {"": b""}
+        space = self.tokenizer.encode(" ", add_special_tokens=False).tokens[0]
+        vocabulary = self.tokenizer.get_vocab()
+        self.begins = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.begins[[i for token, i in vocabulary.items() if token.startswith(space)]] = True
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         made = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in made]
-
-    def __call__(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        if not text:
-            return b""
-        parts = [text] if self.odd(text) else text.replace(" ", "\0 ").split("\0") if "\0" not in text else [text]
+        return [array("I", x.ids).tobytes() for x in made]
+
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of words with a space before each: of all as one text, cut at the ids that begin with a space."""
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+        cuts = np.flatnonzero(self.begins[ids])
+        if len(cuts) != len(words):
+            return self.encode_all(words)
+        data, ends = ids.tobytes(), [*(4 * cuts[1:]).tolist(), 4 * len(ids)]
+        return [data[a:b] for a, b in zip((4 * cuts).tolist(), ends, strict=True)]
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text; unknown words of all of them are encoded together."""
         known = self.words
-        found = [known.get(p) for p in parts]
-        if None in found:
-            missing = list({p for p, ids in zip(parts, found, strict=True) if ids is None})
-            new = dict(zip(missing, self.encode_all(missing), strict=True))
-            if len(known) < self.max_words:
-                known.update((p, ids) for p, ids in new.items() if len(p) <= 64)
-            found = [new[p] if ids is None else ids for p, ids in zip(parts, found, strict=True)]
-        return b"".join(found)
+        cut = [[t] if "\0" in t else t.replace(" ", "\0 ").split("\0") for t in texts]
+        found = [[known.get(p) for p in parts] for parts in cut]
+        missing = {p: b"" for parts, ids in zip(cut, found, strict=True) if None in ids for p, i in zip(parts, ids, strict=True) if i is None}
+        # a word is one space and no other white space at either end; or it is the first of its text
+        odd = {p for p in missing if p[-1].isspace() or p[0] == " " and p[1].isspace()}
+        words = [p for p in missing if p[0] == " " and p not in odd]
+        first = [p for p in missing if p[0] != " " and p not in odd]
+        new = dict(zip(words, self.encode_words(words), strict=True)) if words else {}
+        new |= zip(first, self.encode_all(first), strict=True)
+        if len(known) < self.max_words:
+            known.update((p, ids) for p, ids in new.items() if len(p) <= 64)
+        out = []
+        for t, parts, ids in zip(texts, cut, found, strict=True):
+            if None in ids:
+                if odd and not odd.isdisjoint(parts):
+                    out.append(self.encode_all([t])[0])
+                    continue
+                ids = [new[p] if i is None else i for p, i in zip(parts, ids, strict=True)]
+            out.append(b"".join(ids))
+        return out
+
+
+def grouped(texts: list[str | None], size: int = 1_000_000) -> Iterator[tuple[int, list[str]]]:
+    """(first, texts) of consecutive texts of about so many characters together."""
+    first, n = 0, 0
+    for k, t in enumerate(texts):
+        n += len(t or "") + 1
+        if n >= size or k == len(texts) - 1:
+            yield first, [x or "" for x in texts[first : k + 1]]
+            first, n = k + 1, 0
 
 
 def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int, int]]:
@@ -96,13 +130,14 @@ def _pieces(path: str, capacity: int):
         made: dict[int, int] = {}
         for batch in batches:
             rows, out = [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                ids = encoder(text or "") + end
-                n = len(ids) // 4
-                for start, length, k in cut(n, capacity):
-                    rows.append(i)
-                    out.append((start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), n, k, made.get(k, 0)))
-                    made[k] = made.get(k, 0) + 1
+            for first, texts in grouped(batch.column(1).to_pylist()):
+                for i, ids in enumerate(encoder(texts), first):
+                    ids += end
+                    n = len(ids) // 4
+                    for start, length, k in cut(n, capacity):
+                        rows.append(i)
+                        out.append((start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), n, k, made.get(k, 0)))
+                        made[k] = made.get(k, 0) + 1
             columns = list(zip(*out, strict=True)) or [[]] * 6
             yield pa.RecordBatch.from_arrays(
                 [
