@@ -6,7 +6,9 @@ import sys
 import tempfile
 import types
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +48,13 @@ def worker_state(name: str) -> dict:
     return holder.__dict__.setdefault(name, {})
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches of fewer rows, so that few texts at a time are Python objects."""
+    for batch in batches:
+        for a in range(0, max(batch.num_rows, 1), rows):
+            yield batch.slice(a, rows)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.llm.common import sliced
+
 #: Edits allowed, as a share of the item's normalised length.
 ERROR_RATE = 0.1
 #: Pieces may not be shorter: an item that would need shorter ones is allowed fewer edits.
@@ -165,7 +167,7 @@ def matches(
     def finder(block: list[tuple]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(block, error_rate, min_piece)
-            for batch in batches:
+            for batch in sliced(batches):
                 at, items, distances = [], [], []
                 for i, t in enumerate(batch.column(1).to_pylist()):
                     for item, distance in matcher(t):
@@ -204,7 +206,7 @@ def remove_contaminated(
     def keeper(block: list[tuple], at: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(block, error_rate, min_piece)
-            for batch in batches:
+            for batch in sliced(batches):
                 yield batch.filter(pa.array([not matcher(t) for t in batch.column(at).to_pylist()], pa.bool_()))
 
         return run

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import checkpointed, worker_state
+from lodestar.llm.common import checkpointed, sliced, worker_state
 
 CAPACITY = 2048
 END_ID = 1
@@ -128,7 +128,7 @@ def _pieces(path: str, capacity: int):
         end = np.array([END_ID], dtype="<u4").tobytes()
         task = TaskContext.get().partitionId()
         made: dict[int, int] = {}
-        for batch in batches:
+        for batch in sliced(batches):
             rows, out = [], []
             for first, texts in grouped(batch.column(1).to_pylist()):
                 for i, ids in enumerate(encoder(texts), first):

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import checkpointed, shared_table
+from lodestar.llm.common import checkpointed, shared_table, sliced
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -114,7 +114,7 @@ def joined(spans: list[tuple[int, str, int]]) -> str:
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The known spans of each text, and the places whose contexts count: (start, end, kind, instance, patterns)."""
     place = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("instance", pa.string()), ("patterns", pa.list_(pa.string()))])
-    for batch in batches:
+    for batch in sliced(batches):
         counts, base, places = [], [], []
         for text in batch.column(1).to_pylist():
             text = text or ""

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import checkpointed
+from lodestar.llm.common import checkpointed, sliced
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -107,7 +107,7 @@ def joined(spans: list[tuple[int, str, int]]) -> str:
 
 def _identifiers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Identifiers around the sensitive words of each text, with a hash of that text."""
-    for batch in batches:
+    for batch in sliced(batches):
         words, texts = [], []
         for text in batch.column(0).to_pylist():
             if text and (near := contexts(text)):
@@ -146,7 +146,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", identifier
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         novelty = Novelty(identifiers)
-        for batch in batches:
+        for batch in sliced(batches):
             counts, base, spans = [], [], []
             for t in batch.column(1).to_pylist():
                 known = known_spans(t or "")
@@ -179,7 +179,7 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", identifi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         novelty = Novelty(identifiers)
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(at).to_pylist()
             sizes = batch.column(size).to_pylist() if size is not None else None
             for i, t in enumerate(texts):

@@ -34,16 +34,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import shared_table
+from lodestar.llm.common import shared_table, sliced
 
 LENGTH = 50
 KMER = 16
 #: Windows that are hashed at once, segments in a run, and bytes of input for each range of the first exchange.
-BLOCK, RUN, RANGE_BYTES = 1 << 18, 2_000_000, 16_000_000
+BLOCK, RUN, RANGE_BYTES = 1 << 18, 1_000_000, 8_000_000
 #: A k-mer with more distinct segments in a run is dealt by segments, so that no range takes all that it has.
 HOT = 64
 #: Suffixes in a run of the second exchange, suffixes in a range, and suffixes sampled for each range.
-SUFFIX_RUN, RANGE_SUFFIXES, SAMPLE = 400_000, 100_000, 8
+SUFFIX_RUN, RANGE_SUFFIXES, SAMPLE = 200_000, 100_000, 8
 
 
 # --- step 1: anchors and segments -------------------------------------------------------------
@@ -99,7 +99,7 @@ def unsqueeze(blob: bytes, kind: str) -> np.ndarray:
 
 
 #: Of a segment: 48 bits of the k-mer's hash, 56 of the segment's, its document, 16 bits of that text's hash, its place.
-COLUMNS = [("kmer", "<u8"), ("seg", "<u8"), ("doc", "<i8"), ("tag", "<u2"), ("lo", "<i8"), ("n", "<u1")]
+COLUMNS = [("kmer", "<u8"), ("seg", "<u8"), ("doc", "<i8"), ("tag", "<u2"), ("lo", "<i4"), ("n", "<u1")]
 
 
 #: Added to n: the entry is of a k-mer that its run dealt by segments.
@@ -139,7 +139,7 @@ def _segment_runs(n_ranges: int, length: int, k: int):
             if wide.any():
                 hot = np.repeat(wide, counts)
                 part[hot] = (columns[1][hot] >> np.uint64(24)) * np.uint64(n_ranges) >> np.uint64(32)
-                columns[5] = columns[5] | np.where(hot, IS_HOT, 0)
+                columns[5] = columns[5] | np.where(hot, IS_HOT, 0).astype(np.uint8)
                 # two marks without windows tell the k-mer's own range that more than one document has it
                 for j, extra in enumerate((kmer[sent][start[wide]], 0, None, 0, 0, 0)):
                     added = np.concatenate([low[wide], high[wide]]) if extra is None else np.tile(np.broadcast_to(extra, wide.sum()), 2)
@@ -174,11 +174,11 @@ def _segment_runs(n_ranges: int, length: int, k: int):
                 )
                 at = np.searchsorted(ends, lo, side="right")
                 place = lo - (ends - sizes)[at] + np.array(offsets, dtype=np.int64)[at]
-                held.append((kmer >> np.uint64(16), seg >> np.uint64(8), np.array(ids, dtype=np.int64)[at], np.array(tags, dtype=np.uint16)[at], place, n))
+                held.append((kmer >> np.uint64(16), seg >> np.uint64(8), np.array(ids, dtype=np.int64)[at], np.array(tags, dtype=np.uint16)[at], place.astype(np.int32), n.astype(np.uint8)))
                 count += len(lo)
 
         parts, ids, tags, offsets, size = [], [], [], [], 0
-        for batch in batches:
+        for batch in sliced(batches):
             for doc, tag, text in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
                 raw = (text or "").encode()
                 if len(raw) < length or (doc, tag, len(raw)) in seen:
@@ -331,7 +331,7 @@ def _segment_bytes(length: int):
     """A row for each open segment, with its bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows, places, data = [], [], []
             for i, (text, los, ns) in enumerate(zip(*(batch.column(c).to_pylist() for c in (2, 3, 4)), strict=True)):
                 raw = text.encode()
@@ -462,7 +462,7 @@ def _apply(length: int, with_text: bool):
     """The statistics of each text without its removed bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
             for text, los, ns in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True):
                 raw = (text or "").encode()
