@@ -31,9 +31,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def shared_table(df: DataFrame) -> DataFrame:
-    """As ``checkpointed``, but as a compressed Parquet table; for larger frames."""
+    """As ``checkpointed``, but as a compressed Parquet table; for larger frames.
+
+    Spark deletes the files of shuffles that nothing refers to any more when the
+    driver collects its garbage.  That is asked for here, as the steps before
+    may have left many.
+    """
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.parquet(path)
 
 

@@ -11,11 +11,11 @@ tens of bytes, so only those suffixes are sorted that hashes can't decide:
    hash.  Segments that are equal as a whole are decided: all but the ones of the
    smallest document go.  A k-mer that no other document's segments have is decided too.
 2. What is left are the first segments of k-mers that differ around them, at the
-   ends of repeated passages.  Their suffixes are sorted in each task, front-coded
-   (length of the prefix common with the suffix before, and the rest), exchanged
-   by ranges of suffixes, and merged by a loser tree that compares two suffixes
-   only beyond the prefixes known to be common.  Of equal strings all but those
-   of the smallest document go.
+   ends of repeated passages.  Suffixes whose hash no other run has are left out.
+   The others are sorted in each run, front-coded (length of the prefix common
+   with the suffix before, and the rest), exchanged by ranges of suffixes, and
+   merged by a loser tree that compares two suffixes only beyond the prefixes
+   known to be common.  Of equal strings all but those of the smallest document go.
 
 In both steps a task first decides what it can within its own run and sends one
 document for each distinct string or segment, so that copies of a passage, however
@@ -37,13 +37,13 @@ from pyspark.sql import functions as F
 from lodestar.llm.common import shared_table, sliced
 
 LENGTH = 50
-KMER = 16
+KMER = 24
 #: Windows that are hashed at once, segments in a run, and bytes of input for each range of the first exchange.
 BLOCK, RUN, RANGE_BYTES = 1 << 18, 1_000_000, 8_000_000
 #: A k-mer with more distinct segments in a run is dealt by segments, so that no range takes all that it has.
 HOT = 64
-#: Suffixes in a run of the second exchange, suffixes in a range, and suffixes sampled for each range.
-SUFFIX_RUN, RANGE_SUFFIXES, SAMPLE = 200_000, 100_000, 8
+#: Suffixes in a run of the second step, suffixes in a range, and suffixes sampled for each range.
+SUFFIX_RUN, RANGE_SUFFIXES, SAMPLE = 400_000, 200_000, 8
 
 
 # --- step 1: anchors and segments -------------------------------------------------------------
@@ -98,7 +98,7 @@ def unsqueeze(blob: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(size, -1).T).view(kind).ravel()
 
 
-#: Of a segment: 48 bits of the k-mer's hash, 56 of the segment's, its document, 16 bits of that text's hash, its place.
+#: Of a segment: 48 bits of the k-mer's hash, 48 of the segment's, its document, 16 bits of that text's hash, its place.
 COLUMNS = [("kmer", "<u8"), ("seg", "<u8"), ("doc", "<i8"), ("tag", "<u2"), ("lo", "<i4"), ("n", "<u1")]
 
 
@@ -138,7 +138,7 @@ def _segment_runs(n_ranges: int, length: int, k: int):
             wide = (counts > HOT) & (low < high)
             if wide.any():
                 hot = np.repeat(wide, counts)
-                part[hot] = (columns[1][hot] >> np.uint64(24)) * np.uint64(n_ranges) >> np.uint64(32)
+                part[hot] = (columns[1][hot] >> np.uint64(16)) * np.uint64(n_ranges) >> np.uint64(32)
                 columns[5] = columns[5] | np.where(hot, IS_HOT, 0).astype(np.uint8)
                 # two marks without windows tell the k-mer's own range that more than one document has it
                 for j, extra in enumerate((kmer[sent][start[wide]], 0, None, 0, 0, 0)):
@@ -174,7 +174,7 @@ def _segment_runs(n_ranges: int, length: int, k: int):
                 )
                 at = np.searchsorted(ends, lo, side="right")
                 place = lo - (ends - sizes)[at] + np.array(offsets, dtype=np.int64)[at]
-                held.append((kmer >> np.uint64(16), seg >> np.uint64(8), np.array(ids, dtype=np.int64)[at], np.array(tags, dtype=np.uint16)[at], place.astype(np.int32), n.astype(np.uint8)))
+                held.append((kmer >> np.uint64(16), seg >> np.uint64(16), np.array(ids, dtype=np.int64)[at], np.array(tags, dtype=np.uint16)[at], place.astype(np.int32), n.astype(np.uint8)))
                 count += len(lo)
 
         parts, ids, tags, offsets, size = [], [], [], [], 0
@@ -291,15 +291,15 @@ def merge_runs(runs: list[Iterator[tuple[int, bytes]]]) -> Iterator[tuple[int, i
             return (a, b) if pa_ > pb else (b, a)
         if pa_ < 0:
             return (a, b) if a < b else (b, a)
-        x, y = rows[a], rows[b]
-        i, n = pa_, len(x)
-        while i < n and x[i] == y[i]:
-            i += 1
-        if i == n:
-            a, b = min(a, b), max(a, b)
-        elif x[i] > y[i]:
+        x, y = rows[a][pa_:], rows[b][pa_:]
+        if x == y:
+            prefix[max(a, b)] = pa_ + len(x)
+            return (a, b) if a < b else (b, a)
+        differ = int.from_bytes(x) ^ int.from_bytes(y)  # the first byte that differs is the highest
+        at = pa_ + len(x) - (differ.bit_length() + 7) // 8
+        if x > y:
             a, b = b, a
-        prefix[b] = i
+        prefix[b] = at
         return a, b
 
     tree = [0] * k  # the losers; tree[0]: the winner
@@ -347,80 +347,164 @@ def _segment_bytes(length: int):
     return run
 
 
-def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """Byte matrix, document, tag and place of the windows of open segments, some at a time."""
-
-    def windows(held: list[pa.RecordBatch]) -> tuple[np.ndarray, ...]:
-        table = pa.Table.from_batches(held)
-        data = table.column("data").to_pylist()
-        sizes = np.fromiter(map(len, data), dtype=np.int64, count=len(data))
-        n = sizes - length + 1
-        begins = np.cumsum(sizes) - sizes
-        first = np.cumsum(n) - n
-        within = np.arange(n.sum()) - np.repeat(first, n)
-        raw = np.frombuffer(b"".join(data), dtype=np.uint8)
-        matrix = np.lib.stride_tricks.sliding_window_view(raw, length)[np.repeat(begins, n) + within]
-        doc, tag, lo = (np.repeat(table.column(c).to_numpy().astype(np.int64), n) for c in ("doc", "tag", "lo"))
-        return matrix, doc, tag, lo + within
-
-    held, size = [], 0
-    for batch in batches:
-        for a in range(0, batch.num_rows, 8192):
-            held.append(batch.slice(a, 8192))
-            size += held[-1].num_rows
-            if size * 16 >= SUFFIX_RUN:
-                yield windows(held)
-                held, size = [], 0
-    if size:
-        yield windows(held)
+def window_hashes(matrix: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the rows of a byte matrix."""
+    width = -(-matrix.shape[1] // 8) * 8
+    padded = np.zeros((len(matrix), width), dtype=np.uint8)
+    padded[:, : matrix.shape[1]] = matrix
+    h = np.full(len(matrix), 0x27D4EB2F165667C5, dtype=np.uint64)
+    for word in padded.view("<u8").T:
+        h = (h ^ word) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+    h *= np.uint64(0xC2B2AE3D27D4EB4F)
+    return h ^ h >> np.uint64(29)
+
+
+def _windows(segments_: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(all bytes, where each window begins, document, tag, place) of the windows of a run's segments."""
+    segments_ = segments_.sort_by([("doc", "ascending"), ("tag", "ascending"), ("lo", "ascending")])
+    data = segments_.column("data").to_pylist()
+    sizes = np.fromiter(map(len, data), dtype=np.int64, count=len(data))
+    n = sizes - length + 1
+    within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    raw = np.frombuffer(b"".join(data), dtype=np.uint8)
+    doc, tag, lo = (np.repeat(segments_.column(c).to_numpy().astype(np.int64), n) for c in ("doc", "tag", "lo"))
+    return raw, np.repeat(np.cumsum(sizes) - sizes, n) + within, doc, tag, lo + within
+
+
+def _rows(raw: np.ndarray, begins: np.ndarray, length: int) -> np.ndarray:
+    return np.lib.stride_tricks.sliding_window_view(raw, length)[begins]
+
+
+def _hashed(raw: np.ndarray, begins: np.ndarray, length: int) -> np.ndarray:
+    blocks = [window_hashes(_rows(raw, begins[a : a + 65_536], length)) for a in range(0, len(begins), 65_536)]
+    return np.concatenate(blocks) >> np.uint64(16)
+
+
+def _run_hashes(n_ranges: int, length: int):
+    """(run, range, blob) of the distinct sorted 48-bit hashes of a run's windows."""
+
+    def run(segments_: pa.Table) -> pa.Table:
+        raw, begins, *_ = _windows(segments_, length)
+        hashes = np.unique(_hashed(raw, begins, length))
+        part = (hashes >> np.uint64(16)) * np.uint64(n_ranges) >> np.uint64(32)
+        cuts = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]])
+        return pa.table(
+            {
+                "run": pa.array(np.full(len(cuts) - 1, segments_.column("run")[0].as_py()), pa.int64()),
+                "range": pa.array(part[cuts[:-1]].astype(np.int64), pa.int64()),
+                "hashes": pa.array([squeeze(np.diff(hashes[a:b], prepend=np.uint64(0))) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
+            }
+        )
+
+    return run
+
+
+def _shared_hashes(blobs: pa.Table) -> pa.Table:
+    """For each run and range, which of its hashes another run has too: a packed bit for each, in their order."""
+    each = [np.cumsum(unsqueeze(x, "<u8"), dtype=np.uint64) for x in blobs.column("hashes").to_pylist()]
+    _, back, counts = np.unique(np.concatenate(each), return_inverse=True, return_counts=True)
+    more = np.split(counts[back] > 1, np.cumsum([len(x) for x in each])[:-1])
+    return pa.table({"run": blobs.column("run"), "range": blobs.column("range"), "bits": pa.array([np.packbits(x).tobytes() for x in more], pa.binary()), "n": pa.array([len(x) for x in more], pa.int64())})
+
+
+RUN_COLUMNS = [("lcp", "<u1"), ("doc", "<i8"), ("tag", "<u2"), ("lo", "<i4")]
+RUN_SCHEMA = "range int, rest binary, " + ", ".join(f"{c} binary" for c, _ in RUN_COLUMNS)
+
+
+def _suffix_runs(length: int):
+    """The sorted, front-coded run of the suffixes that other runs may have, with range 0, and with -1 what the run decides."""
+
+    def run(segments_: pa.Table, replies: pa.Table) -> pa.Table:
+        raw, begins, doc, tag, lo = _windows(segments_, length)
+        hashes = _hashed(raw, begins, length)
+        order = np.lexsort((doc, hashes))
+        h, d = hashes[order], doc[order]
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = h[1:] != h[:-1]
+        replies = replies.sort_by("range")
+        bits = [np.unpackbits(np.frombuffer(x, dtype=np.uint8), count=n).astype(bool) for x, n in zip(replies.column("bits").to_pylist(), replies.column("n").to_pylist(), strict=True)]
+        shared = np.concatenate(bits)[np.cumsum(new) - 1]
+        # what only this run has matters if more than one of its documents has it
+        first = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+        group = np.cumsum(new) - 1
+        high = np.zeros(group[-1] + 1, dtype=np.int64)
+        np.maximum.at(high, group, d)
+        own = order[shared | (high[group] > d[first])]
+        out: list[tuple] = []
+
+        def add(r, at, rest, lcp):
+            out.append((r, rest, *(squeeze(c.astype(kind)) for c, (_, kind) in zip((lcp, doc[at], tag[at], lo[at]), RUN_COLUMNS, strict=True))))
+
+        if len(own):
+            rows = _rows(raw, begins[own], length)
+            keys = np.ascontiguousarray(rows).view(f"S{length}").ravel()
+            again = np.lexsort((doc[own], keys))
+            own, rows = own[again], rows[again]
+            new = np.ones(len(own), dtype=bool)
+            new[1:] = (rows[1:] != rows[:-1]).any(axis=1)
+            first = np.maximum.accumulate(np.where(new, np.arange(len(own)), 0))
+            beaten = doc[own] != doc[own][first]
+            if beaten.any():
+                add(-1, own[beaten], b"", np.zeros(int(beaten.sum())))
+            lcp, rest = front_code(rows[~beaten])
+            add(0, own[~beaten], zstandard.compress(rest, 1), lcp)
+        columns = list(zip(*out, strict=True)) or [[]] * 6
+        return pa.table({c: pa.array(x, pa.int32() if c == "range" else pa.binary()) for c, x in zip(["range", "rest", *(c for c, _ in RUN_COLUMNS)], columns, strict=True)})
+
+    return run
+
+
+def decode_rows(lcp: np.ndarray, rest: bytes, length: int) -> np.ndarray:
+    """The byte matrix of a front-coded run, column by column."""
+    raw = np.frombuffer(rest, dtype=np.uint8)
+    begins = np.cumsum(length - lcp) - (length - lcp)
+    out = np.empty((len(lcp), length), dtype=np.uint8)
+    index = np.arange(len(lcp))
+    for j in range(length):
+        source = np.maximum.accumulate(np.where(lcp <= j, index, 0))  # the last row that spells out this byte
+        out[:, j] = raw[begins[source] + j - lcp[source]]
+    return out
 
 
 def _suffix_sample(length: int):
     """Evenly spaced suffixes of each run, to cut ranges."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, *_ in _windows(batches, length):
-            keys = np.sort(np.ascontiguousarray(rows).view(f"S{length}").ravel())
-            picked = keys[np.linspace(0, len(keys) - 1, 2 + SAMPLE * len(keys) // RANGE_SUFFIXES).astype(int)]
-            yield pa.RecordBatch.from_arrays([pa.array([x.ljust(length, b"\0") for x in picked.tolist()], pa.binary())], names=["suffix"])
+        for batch in batches:
+            picked = []
+            for r, rest, lcp in zip(*(batch.column(c).to_pylist() for c in ("range", "rest", "lcp")), strict=True):
+                if r >= 0:
+                    rows = decode_rows(unsqueeze(lcp, "<u1").astype(np.int64), zstandard.decompress(rest), length)
+                    at = np.linspace(0, len(rows) - 1, 2 + SAMPLE * len(rows) // RANGE_SUFFIXES).astype(int)
+                    picked += [rows[k].tobytes() for k in at]
+            yield pa.RecordBatch.from_arrays([pa.array(picked, pa.binary())], names=["suffix"])
 
     return run
 
 
-RUN_COLUMNS = [("lcp", "<u1"), ("doc", "<i8"), ("tag", "<u2"), ("lo", "<i8")]
-
-
-def _suffix_runs(splitters: list[bytes], length: int):
-    """Sorted, front-coded runs by range, and with range -1 what a run decides by itself."""
+def _cut_runs(splitters: list[bytes], length: int):
+    """Runs cut at the splitters: each part begins with a row in full."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts_at = np.array(splitters, dtype=f"S{length}")
-        for rows, doc, tag, lo in _windows(batches, length):
-            keys = np.ascontiguousarray(rows).view(f"S{length}").ravel()
-            order = np.lexsort((doc, keys))
-            keys, rows, doc, tag, lo = keys[order], rows[order], doc[order], tag[order], lo[order]
-            new = np.ones(len(keys), dtype=bool)
-            new[1:] = (rows[1:] != rows[:-1]).any(axis=1)
-            first = np.maximum.accumulate(np.where(new, np.arange(len(keys)), 0))
-            beaten = doc != doc[first]
-            ranges, out = [], []
-
-            def add(r, own, rest, lcp):
-                ranges.append(r)
-                out.append((rest, *(squeeze(c.astype(kind)) for c, (_, kind) in zip((lcp, doc[own], tag[own], lo[own]), RUN_COLUMNS, strict=True))))
-
-            if len(gone := np.flatnonzero(beaten)):
-                add(-1, gone, b"", np.zeros(len(gone)))
-            sent = np.flatnonzero(~beaten)
-            part = np.searchsorted(cuts_at, keys[sent], side="right") if len(cuts_at) else np.zeros(len(sent), dtype=int)
-            edges = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]])
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                lcp, rest = front_code(rows[sent[a:b]])
-                add(int(part[a]), sent[a:b], zstandard.compress(rest, 1), lcp)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ranges, pa.int32()), *(pa.array([x[j] for x in out], pa.binary()) for j in range(5))],
-                names=["range", "rest", *(c for c, _ in RUN_COLUMNS)],
-            )
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ["range", "rest", *(c for c, _ in RUN_COLUMNS)]), strict=True):
+                if row[0] < 0 or not len(cuts_at):
+                    out = [row]
+                else:
+                    lcp = unsqueeze(row[2], "<u1").astype(np.int64)
+                    rows = decode_rows(lcp, zstandard.decompress(row[1]), length)
+                    others = [unsqueeze(x, kind) for x, (_, kind) in zip(row[3:], RUN_COLUMNS[1:], strict=True)]
+                    edges = np.unique([0, *np.searchsorted(rows.view(f"S{length}").ravel(), cuts_at, side="left"), len(rows)])
+                    out = []
+                    for a, b in zip(edges[:-1], edges[1:], strict=True):
+                        own, rest = front_code(rows[a:b])
+                        part = int(np.searchsorted(cuts_at, rows[a : a + 1].view(f"S{length}").ravel()[0], side="right"))
+                        out.append((part, zstandard.compress(rest, 1), squeeze(own.astype("<u1")), *(squeeze(x[a:b]) for x in others)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, pa.int32() if k == 0 else pa.binary()) for k, c in enumerate(zip(*out, strict=True))], names=["range", "rest", *(c for c, _ in RUN_COLUMNS)]
+                )
 
     return run
 
@@ -505,10 +589,12 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     An empty table gives no rows.  Other columns are not looked at.
     """
     last = 2**63 - 1
+    ids = docs.groupBy(F.col(f"`{doc_id}`").alias("id")).count()
+    repeat = bool(ids.where("count > 1").limit(1).count())  # then the hash of a row's text tells it from others of its id
     rows = docs.select(
         F.col(f"`{doc_id}`").alias("id"),
         F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(last)).alias("doc"),
-        F.pmod(F.xxhash64(f"`{text}`"), F.lit(65536)).cast("int").alias("tag"),
+        (F.pmod(F.xxhash64(f"`{text}`"), F.lit(65536)) if repeat else F.lit(0)).cast("int").alias("tag"),
         F.col(f"`{text}`").alias("text"),
     )
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -524,15 +610,19 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     n_open = open_.agg(F.sum("n")).first()[0] or 0
     if n_open:
         joined = rows.select("doc", "tag", "text").where(F.octet_length("text") >= length).join(listed(open_), ["doc", "tag"]).select("doc", "tag", "text", "los", "ns")
-        strings = shared_table(joined.mapInArrow(_segment_bytes(length), "doc long, tag int, lo long, data binary"))
-        n_suffix_ranges = -(-n_open // RANGE_SUFFIXES)
+        n_runs, n_suffix_ranges = -(-n_open // SUFFIX_RUN), -(-n_open // RANGE_SUFFIXES)
+        run_of = F.pmod(F.xxhash64("doc", "tag", F.floor(F.col("lo") / BLOCK)), F.lit(n_runs)).alias("run")
+        strings = shared_table(joined.mapInArrow(_segment_bytes(length), "doc long, tag int, lo long, data binary").select("*", run_of))
+        hashes = strings.groupBy("run").applyInArrow(_run_hashes(n_suffix_ranges, length), "run long, range long, hashes binary")
+        shared = hashes.groupBy("range").applyInArrow(_shared_hashes, "run long, range long, bits binary, n long")
+        blocks = shared_table(strings.groupBy("run").cogroup(shared.groupBy("run")).applyInArrow(_suffix_runs(length), RUN_SCHEMA))
         splitters: list[bytes] = []
         if n_suffix_ranges > 1:
-            sample = strings.mapInArrow(_suffix_sample(length), "suffix binary")  # some for each range
+            sample = blocks.mapInArrow(_suffix_sample(length), "suffix binary")  # some for each range
             ranked = sorted(bytes(r.suffix) for r in sample.toLocalIterator())
             splitters = sorted({ranked[len(ranked) * i // n_suffix_ranges] for i in range(1, n_suffix_ranges)}) if ranked else []
-        blocks = strings.mapInArrow(_suffix_runs(splitters, length), "range int, rest binary, " + ", ".join(f"{c} binary" for c, _ in RUN_COLUMNS))
-        merged = blocks.select("*", spread).groupBy("group").applyInArrow(_merge_range(length), ENTRY)
+        parts = blocks.mapInArrow(_cut_runs(splitters, length), RUN_SCHEMA)
+        merged = parts.select("*", spread).groupBy("group").applyInArrow(_merge_range(length), ENTRY)
         gone = gone.unionByName(merged.drop("decided"))
     judged = rows.join(listed(gone), ["doc", "tag"], "left").select("id", "text", "los", "ns")
     kind = docs.schema[doc_id].dataType.simpleString()
