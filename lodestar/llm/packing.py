@@ -14,6 +14,7 @@ from __future__ import annotations
 import os
 import zlib
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ CAPACITY = 2048
 END_ID = 1
 TOKENIZER = "byte_bpe_50k.json"
 #: Words whose ids a Python worker keeps at most (about 200 bytes each).
-MAX_CACHED_WORDS = 1_000_000
+MAX_CACHED_WORDS = 250_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -76,7 +77,7 @@ class WordEncoder:
         known = self.words
         cut = [[t] if "\0" in t else t.replace(" ", "\0 ").split("\0") for t in texts]
         found = [[known.get(p) for p in parts] for parts in cut]
-        missing = {p: b"" for parts, ids in zip(cut, found, strict=True) if None in ids for p, i in zip(parts, ids, strict=True) if i is None}
+        missing = Counter(p for parts, ids in zip(cut, found, strict=True) if None in ids for p, i in zip(parts, ids, strict=True) if i is None)
         # a word is one space and no other white space at either end; or it is the first of its text
         odd = {p for p in missing if p[-1].isspace() or p[0] == " " and p[1].isspace()}
         words = [p for p in missing if p[0] == " " and p not in odd]
@@ -84,7 +85,7 @@ class WordEncoder:
         new = dict(zip(words, self.encode_words(words), strict=True)) if words else {}
         new |= zip(first, self.encode_all(first), strict=True)
         if len(known) < self.max_words:
-            known.update((p, ids) for p, ids in new.items() if len(p) <= 64)
+            known.update((p, ids) for p, ids in new.items() if len(p) <= 64)  # words seen once are mostly not seen again
         out = []
         for t, parts, ids in zip(texts, cut, found, strict=True):
             if None in ids:
