@@ -45,6 +45,11 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
 
 
+def let_all(values: dict, body) -> Column:
+    """body(struct) with all named values worked out once."""
+    return let(F.struct(*[v.alias(k) for k, v in values.items()]), body)
+
+
 def on_geometry(function):
     """The first argument, a geometry, is worked out once however often it is used."""
 
@@ -243,40 +248,58 @@ def geodesic(p: Column, q: Column, rounds: int = 20) -> Column:
     """
     a, f = 6378137.0, 1 / 298.257223563
     b = a * (1 - f)
-    rad = lambda c: F.radians(c)
-    u1, u2 = F.atan((1 - f) * F.tan(rad(p["y"]))), F.atan((1 - f) * F.tan(rad(q["y"])))
-    s1, c1, s2, c2 = F.sin(u1), F.cos(u1), F.sin(u2), F.cos(u2)
-    diff = rad(q["x"] - p["x"])
-
-    def parts(lam: Column):
-        sl, cl = F.sin(lam), F.cos(lam)
-        sin_s = F.sqrt((c2 * sl) * (c2 * sl) + (c1 * s2 - s1 * c2 * cl) * (c1 * s2 - s1 * c2 * cl))
-        cos_s = s1 * s2 + c1 * c2 * cl
-        sin_a = F.coalesce(F.try_divide(c1 * c2 * sl, sin_s), F.lit(0.0))
-        cos2a = 1 - sin_a * sin_a
-        cos2m = F.coalesce(cos_s - F.try_divide(2 * s1 * s2, cos2a), F.lit(0.0))
-        return sin_s, cos_s, F.atan2(sin_s, cos_s), sin_a, cos2a, cos2m
-
-    def turn(lam: Column, _) -> Column:
-        sin_s, cos_s, sigma, sin_a, cos2a, cos2m = parts(lam)
-        c = f / 16 * cos2a * (4 + f * (4 - 3 * cos2a))
-        return diff + (1 - c) * f * sin_a * (sigma + c * sin_s * (cos2m + c * cos_s * (2 * cos2m * cos2m - 1)))
-
-    def length(lam: Column) -> Column:
-        sin_s, cos_s, sigma, _, cos2a, cos2m = parts(lam)
-        uu = cos2a * (a * a - b * b) / (b * b)
-        big_a = 1 + uu / 16384 * (4096 + uu * (-768 + uu * (320 - 175 * uu)))
-        big_b = uu / 1024 * (256 + uu * (-128 + uu * (74 - 47 * uu)))
-        ds = big_b * sin_s * (cos2m + big_b / 4 * (cos_s * (2 * cos2m * cos2m - 1) - big_b / 6 * cos2m * (4 * sin_s * sin_s - 3) * (4 * cos2m * cos2m - 3)))
-        return b * big_a * (sigma - ds)
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), diff, turn, length)
+
+    def arc(lam: Column, k: Column) -> dict:
+        return {
+            "sin_s": F.sqrt(F.pow(k["c2"] * F.sin(lam), F.lit(2)) + F.pow(k["c1"] * k["s2"] - k["s1"] * k["c2"] * F.cos(lam), F.lit(2))),
+            "cos_s": k["s1"] * k["s2"] + k["c1"] * k["c2"] * F.cos(lam),
+        }
+
+    def bend(lam: Column, k: Column, body) -> Column:
+        """body over the arc's sine, cosine and angle, and the azimuth's."""
+
+        def with_azimuth(v: Column) -> Column:
+            sin_a = F.coalesce(F.try_divide(k["c1"] * k["c2"] * F.sin(lam), v["sin_s"]), F.lit(0.0))
+            return let_all(
+                {"sin_s": v["sin_s"], "cos_s": v["cos_s"], "sigma": F.atan2(v["sin_s"], v["cos_s"]), "sin_a": sin_a},
+                lambda w: let(1 - w["sin_a"] * w["sin_a"], lambda c: let(F.coalesce(w["cos_s"] - F.try_divide(2 * k["s1"] * k["s2"], c), F.lit(0.0)), lambda m: body(w, c, m))),
+            )
+
+        return let_all(arc(lam, k), with_azimuth)
+
+    def turn(lam: Column, k: Column) -> Column:
+        def next_lam(w: Column, cos2a: Column, m: Column) -> Column:
+            return let(
+                f / 16 * cos2a * (4 + f * (4 - 3 * cos2a)),
+                lambda c: k["diff"] + (1 - c) * f * w["sin_a"] * (w["sigma"] + c * w["sin_s"] * (m + c * w["cos_s"] * (2 * m * m - 1))),
+            )
+
+        return bend(lam, k, next_lam)
+
+    def length(lam: Column, k: Column) -> Column:
+        def metres(w: Column, cos2a: Column, m: Column) -> Column:
+            def with_series(uu: Column) -> Column:
+                big_a = 1 + uu / 16384 * (4096 + uu * (-768 + uu * (320 - 175 * uu)))
+                big_b = uu / 1024 * (256 + uu * (-128 + uu * (74 - 47 * uu)))
+                return let(big_b, lambda s: b * big_a * (w["sigma"] - s * w["sin_s"] * (
+                    m + s / 4 * (w["cos_s"] * (2 * m * m - 1) - s / 6 * m * (4 * w["sin_s"] * w["sin_s"] - 3) * (4 * m * m - 3)))))
+
+            return let(cos2a * ((a * a - b * b) / (b * b)), with_series)
+
+        return bend(lam, k, metres)
+
+    def over(k: Column) -> Column:
+        return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), k["diff"], lambda lam, _: turn(lam, k), lambda lam: length(lam, k))
+
+    reduced = lambda point: F.atan((1 - f) * F.tan(F.radians(point["y"])))
+    return let_all({"u1": reduced(p), "u2": reduced(q), "diff": F.radians(q["x"] - p["x"])}, lambda u: let_all(
+        {"s1": F.sin(u["u1"]), "c1": F.cos(u["u1"]), "s2": F.sin(u["u2"]), "c2": F.cos(u["u2"]), "diff": u["diff"]}, over))
 
 
 def point_distance(p: Column, q: Column, srid: Column | int = 0) -> Column:
     if isinstance(srid, int):
         return geodesic(p, q) if srid == 4326 else straight(p, q)
-    return F.when(srid == 4326, geodesic(p, q)).otherwise(straight(p, q))
+    return let(p, lambda a: let(q, lambda b: F.when(srid == 4326, geodesic(a, b)).otherwise(straight(a, b))))
 
 
 def _project(p: Column, e: Column) -> Column:
@@ -367,7 +390,7 @@ def centroid_xyz(g) -> Column:
     g = col(g)
 
     def weighted(parts: Column) -> Column:
-        x, y, z, w = (_sum(F.transform(parts, lambda p, k=k: p[k])) for k in ("x", "y", "z", "w"))
+        x, y, z, w = (_sum(parts[k]) for k in ("x", "y", "z", "w"))
         return F.struct(F.try_divide(x, w).alias("x"), F.try_divide(y, w).alias("y"), F.when(g["dim"] == 3, F.try_divide(z, w)).alias("z"))
 
     def ring_moments(r: Column, sign: Column) -> Column:
@@ -619,10 +642,10 @@ def disjoint(g, h) -> Column:
     return ~intersect(g, h)
 
 
+@on_geometries
 @on_geometries
 def distance(g, h, kind: str = "center") -> Column:
     """Between centers, or the least or greatest between points of the shapes; geodesic for points of SRID 4326."""
-    g, h = col(g), col(h)
     centers = point_distance(centroid_xyz(g), centroid_xyz(h), g["srid"])
     if kind == "center":
         return centers
