@@ -45,6 +45,42 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
 
 
+def known(g: Column, gtype: str | None = None, srid: int | None = None) -> Column:
+    """g, with what is known of it when the query is built: plans then have the branches for its type only."""
+    vars(g)["_known"] = (gtype, srid)
+    return g
+
+
+def kind_of(g: Column) -> str | None:
+    return vars(g).get("_known", (None, None))[0]
+
+
+def srid_of(g: Column) -> Column | int:
+    srid = vars(g).get("_known", (None, None))[1]
+    return g["srid"] if srid is None else srid
+
+
+def is_a(g: Column, *kinds: str) -> Column | bool:
+    return g["gtype"].isin(*kinds) if kind_of(g) is None else kind_of(g) in kinds
+
+
+def both(p: Column | bool, q: Column | bool) -> Column | bool:
+    if p is False or q is False:
+        return False
+    return q if p is True else p if q is True else p & q
+
+
+def first_of(cases: list, otherwise) -> Column:
+    """The value of the first case (test, function that makes the value) that holds; tests known to fail leave no branch."""
+    out = None
+    for test, make in cases:
+        if test is True:
+            return make() if out is None else out.otherwise(make())
+        if test is not False:
+            out = F.when(test, make()) if out is None else out.when(test, make())
+    return otherwise() if out is None else out.otherwise(otherwise())
+
+
 def let_all(values: dict, body) -> Column:
     """body(struct) with all named values worked out once."""
     return let(F.struct(*[v.alias(k) for k, v in values.items()]), body)
@@ -55,7 +91,8 @@ def on_geometry(function):
 
     @functools.wraps(function)
     def bound(g, *args, **options):
-        return let(col(g), lambda v: function(v, *args, **options))
+        g = col(g)
+        return let(g, lambda v: function(known(v, *vars(g).get("_known", ())), *args, **options))
 
     return bound
 
@@ -65,7 +102,9 @@ def on_geometries(function):
 
     @functools.wraps(function)
     def bound(g, h, *args, **options):
-        return let(col(g), lambda v: let(col(h), lambda w: function(v, w, *args, **options)))
+        g, h = col(g), col(h)
+        k, m = (vars(x).get("_known", ()) for x in (g, h))
+        return let(g, lambda v: let(h, lambda w: function(known(v, *k), known(w, *m), *args, **options)))
 
     return bound
 
@@ -79,18 +118,20 @@ def xyz(x, y, z=None) -> Column:
 
 def geometry(gtype: str, parts: Column, params: list | None = None, srid: int = 0, dim: int = 2, metrics: Column | None = None) -> Column:
     values = F.array(*[_number(p) for p in params]) if params else F.array().cast("array<double>")
-    return F.struct(
+    made = F.struct(
         F.lit(gtype).alias("gtype"), F.lit(srid).alias("srid"), F.lit(dim).alias("dim"), parts.alias("parts"), values.alias("params"),
         (F.array().cast("array<string>") if metrics is None else metrics).alias("metrics"),
     ).cast(GEOMETRY)
+    return known(made, gtype, srid)
 
 
 def _like(g: Column, gtype: str | Column, parts: Column, params: Column | None = None) -> Column:
     """A geometry of another type or place, with the rest of g."""
-    return F.struct(
+    made = F.struct(
         (F.lit(gtype) if isinstance(gtype, str) else gtype).alias("gtype"), g["srid"].alias("srid"), g["dim"].alias("dim"), parts.alias("parts"),
         (F.array().cast("array<double>") if params is None else params).alias("params"), g["metrics"].alias("metrics"),
     ).cast(GEOMETRY)
+    return known(made, gtype if isinstance(gtype, str) else None, vars(g).get("_known", (None, None))[1])
 
 
 def point(x, y, z=None, srid: int = 0, metrics: Column | None = None) -> Column:
@@ -329,6 +370,9 @@ def signed_area(ring: Column) -> Column:
 
 def _case(g: Column, cases: dict, otherwise=None) -> Column:
     out = None
+    if kind_of(g) is not None:
+        fits = [value for kinds, value in cases.items() if kind_of(g) in ([kinds] if isinstance(kinds, str) else kinds)]
+        return fits[0] if fits else F.lit(None) if otherwise is None else otherwise
     for kinds, value in cases.items():
         test = g["gtype"].isin(*([kinds] if isinstance(kinds, str) else kinds))
         out = F.when(test, value) if out is None else out.when(test, value)
@@ -494,10 +538,19 @@ def angle(l1, l2) -> Column:
 # --- shapes as polygons -----------------------------------------------------------------------
 
 
-@on_geometry
 def topolygon(g, n: int = SIDES) -> Column:
     """A flat shape as a polygon; of n sides where it is round."""
     g = col(g)
+    kind = kind_of(g)
+    if kind is None:
+        return _topolygon(g, n)
+    if kind not in ("square", "rectangle", "circle", "ellipse", "triangle"):
+        return g
+    return known(_topolygon(g, n), "polygon", vars(g)["_known"][1])
+
+
+@on_geometry
+def _topolygon(g, n: int) -> Column:
     c = center(g)
     a, b = g["params"][0], F.coalesce(F.try_element_at(g["params"], F.lit(2)), g["params"][0])
     corners = F.array(*[F.struct((c["x"] + a * sx).alias("x"), (c["y"] + b * sy).alias("y"), c["z"].alias("z")) for sx, sy in ((-1, -1), (1, -1), (1, 1), (-1, 1), (-1, -1))])
@@ -583,20 +636,19 @@ def _within(g, h, strict: bool) -> Column:
     g, h = col(g), col(h)
     less = (lambda x, y: x < y) if strict else (lambda x, y: x <= y)
     gc, r = center(g), g["params"][0]
-    in_circle = less(straight(gc, center(h)) + r, h["params"][0])
-    round_in = F.when(h["gtype"].isin("circle", "sphere"), in_circle).otherwise(holds_point(h, gc) & let(topolygon(h), lambda q: less(r, _to_edges(gc, q))))
+    in_circle = lambda: less(straight(gc, center(h)) + r, h["params"][0])
+    round_in = lambda: first_of([(is_a(h, "circle", "sphere"), in_circle)], lambda: holds_point(h, gc) & let(topolygon(h), lambda q: less(r, _to_edges(gc, q))))
     # no border of h may run through g: none of its corners inside, and no edges that cross
     flat = on_geometries(lambda p, q: F.forall(vertices(p), lambda v: holds_point(h, v, strict)) & ~_cross_edges(p, q, False))
-    whole = flat(topolygon(g), topolygon(h))
     solid = lambda p: holds_point(h, p, strict)
-    corners = F.array(*[F.struct((gc["x"] + _half(g, "x") * i).alias("x"), (gc["y"] + _half(g, "y") * j).alias("y"), (_z(gc) + _half(g, "z") * k).alias("z")) for i in (-1, 1) for j in (-1, 1) for k in (-1, 1)])
-    test = (
-        F.when(g["gtype"].isin("point", "multipoint"), F.forall(vertices(g), solid))
-        .when((g["gtype"] == "circle") & ~h["gtype"].isin("ellipse", *SOLIDS), round_in)
-        .when((g["gtype"] == "sphere") & (h["gtype"] == "sphere"), in_circle)
-        .when(g["gtype"].isin(*SOLIDS), F.forall(corners, solid))
-        .otherwise(whole)
-    )
+    corners = lambda: F.array(*[F.struct((gc["x"] + _half(g, "x") * i).alias("x"), (gc["y"] + _half(g, "y") * j).alias("y"), (_z(gc) + _half(g, "z") * k).alias("z")) for i in (-1, 1) for j in (-1, 1) for k in (-1, 1)])
+    in_flat = is_a(h, *[k for k in (*CENTERED, *AREAL, *LINEAR, "point", "multipoint") if k not in ("ellipse", *SOLIDS)])
+    test = first_of([
+        (is_a(g, "point", "multipoint"), lambda: F.forall(vertices(g), solid)),
+        (both(is_a(g, "circle"), in_flat), round_in),
+        (both(is_a(g, "sphere"), is_a(h, "sphere")), in_circle),
+        (is_a(g, *SOLIDS), lambda: F.forall(corners(), solid)),
+    ], lambda: flat(topolygon(g), topolygon(h)))
     return F.coalesce(_same_srid(g, h) & test, F.lit(False))
 
 
@@ -621,20 +673,17 @@ def cover(g, h) -> Column:
 def intersect(g, h) -> Column:
     """The shapes share a point.  Bounds are compared first."""
     g, h = col(g), col(h)
-    circles = straight(center(g), center(h)) <= g["params"][0] + h["params"][0]
+    circles = lambda: straight(center(g), center(h)) <= g["params"][0] + h["params"][0]
     round_ = lambda c, other: holds_point(other, center(c), False) | let(topolygon(other), lambda q: _to_edges(center(c), q) <= c["params"][0])
     flat = on_geometries(lambda p, q: F.exists(vertices(p), lambda v: holds_point(h, v, False)) | F.exists(vertices(q), lambda v: holds_point(g, v, False)) | _cross_edges(p, q, True))
-    general = flat(topolygon(g), topolygon(h))
-    both = g["gtype"].isin("circle", "sphere") & h["gtype"].isin("circle", "sphere")
-    space = g["gtype"].isin(*SOLIDS) & h["gtype"].isin(*SOLIDS)
-    test = (
-        F.when(both, circles)
-        .when(space, _bounds_meet(g, h) & (zmin(g) <= zmax(h)) & (zmin(h) <= zmax(g)))
-        .when(~_bounds_meet(g, h), False)
-        .when((g["gtype"] == "circle") & ~h["gtype"].isin("ellipse"), round_(g, h))
-        .when((h["gtype"] == "circle") & ~g["gtype"].isin("ellipse"), round_(h, g))
-        .otherwise(general)
-    )
+    flat_kinds = [k for k in (*CENTERED, *AREAL, *LINEAR, "point", "multipoint") if k != "ellipse"]
+    test = first_of([
+        (both(is_a(g, "circle", "sphere"), is_a(h, "circle", "sphere")), circles),
+        (both(is_a(g, *SOLIDS), is_a(h, *SOLIDS)), lambda: _bounds_meet(g, h) & (zmin(g) <= zmax(h)) & (zmin(h) <= zmax(g))),
+        (~_bounds_meet(g, h), lambda: F.lit(False)),
+        (both(is_a(g, "circle"), is_a(h, *flat_kinds)), lambda: round_(g, h)),
+        (both(is_a(h, "circle"), is_a(g, *flat_kinds)), lambda: round_(h, g)),
+    ], lambda: flat(topolygon(g), topolygon(h)))
     return F.coalesce(_same_srid(g, h) & test, F.lit(False))
 
 
@@ -642,22 +691,20 @@ def disjoint(g, h) -> Column:
     return ~intersect(g, h)
 
 
-@on_geometries
 @on_geometries
 def distance(g, h, kind: str = "center") -> Column:
     """Between centers, or the least or greatest between points of the shapes; geodesic for points of SRID 4326."""
-    centers = point_distance(centroid_xyz(g), centroid_xyz(h), g["srid"])
+    centers = point_distance(centroid_xyz(g), centroid_xyz(h), srid_of(g))
     if kind == "center":
         return centers
     r = _case(g, {"circle": g["params"][0]}, F.lit(0.0)) + _case(h, {"circle": h["params"][0]}, F.lit(0.0))
-    rounds = g["gtype"].isin("circle", "point") & h["gtype"].isin("circle", "point")
-    flat_g, flat_h = topolygon(g), topolygon(h)
+    rounds = both(is_a(g, "circle", "point"), is_a(h, "circle", "point"))
     if kind == "min":
-        apart = on_geometries(lambda p, q: F.least(F.array_min(F.transform(vertices(p), lambda v: _to_edges(v, q))), F.array_min(F.transform(vertices(q), lambda v: _to_edges(v, p)))))(flat_g, flat_h)
-        return F.when(rounds, F.greatest(centers - r, F.lit(0.0))).when(intersect(g, h), 0.0).otherwise(apart)
+        apart = on_geometries(lambda p, q: F.least(F.array_min(F.transform(vertices(p), lambda v: _to_edges(v, q))), F.array_min(F.transform(vertices(q), lambda v: _to_edges(v, p)))))
+        return first_of([(rounds, lambda: F.greatest(centers - r, F.lit(0.0)))], lambda: F.when(intersect(g, h), 0.0).otherwise(apart(topolygon(g), topolygon(h))))
     if kind == "max":
-        far = on_geometries(lambda p, q: F.array_max(F.transform(vertices(p), lambda v: F.array_max(F.transform(vertices(q), lambda w: straight(v, w))))))(flat_g, flat_h)
-        return F.when(rounds, centers + r).otherwise(far)
+        far = on_geometries(lambda p, q: F.array_max(F.transform(vertices(p), lambda v: F.array_max(F.transform(vertices(q), lambda w: straight(v, w))))))
+        return first_of([(rounds, lambda: centers + r)], lambda: far(topolygon(g), topolygon(h)))
     raise ValueError(f"unknown distance {kind}")
 
 
