@@ -408,7 +408,7 @@ def volume(g) -> Column:
 
 
 def _length(g: Column) -> Column:
-    return _sum(F.transform(edges(g), lambda e: point_distance(e["a"], e["b"], g["srid"])))
+    return _sum(F.transform(edges(g), lambda e: point_distance(e["a"], e["b"], srid_of(g))))
 
 
 @on_geometry
@@ -1035,33 +1035,37 @@ def _measured(g) -> Column:
 
 def _at_length(m: Column, d: Column) -> Column:
     hit = F.coalesce(F.get(F.filter(m, lambda e: e["s"] + e["d"] >= d), 0), F.element_at(m, -1))
-    return between(hit["a"], hit["b"], F.coalesce(F.try_divide(d - hit["s"], hit["d"]), F.lit(0.0)))
+    return let(hit, lambda e: let(F.coalesce(F.try_divide(d - e["s"], e["d"]), F.lit(0.0)), lambda t: between(e["a"], e["b"], t)))
+
+
+def _along(g: Column, body) -> Column:
+    """body(segments with the length before each, length of all)."""
+    return let(_measured(g), lambda m: let(_sum(m["d"]), lambda total: body(m, total)))
 
 
 @on_geometry
 def interpolate(g, fraction) -> Column:
     """The point at a share of a line's length."""
-    m = _measured(g)
-    total = _sum(F.transform(m, lambda e: e["d"]))
-    return _as_point(col(g), _at_length(m, total * _number(fraction)))
+    return _as_point(g, _along(g, lambda m, total: let(total * _number(fraction), lambda d: _at_length(m, d))))
 
 
 @on_geometry
 def linesubstring(g, f1, f2) -> Column:
-    g, m = col(g), _measured(g)
-    total = _sum(F.transform(m, lambda e: e["d"]))
-    d1, d2 = total * _number(f1), total * _number(f2)
-    inner = F.transform(F.filter(m, lambda e: (e["s"] > d1) & (e["s"] < d2)), lambda e: e["a"])
-    return _like(g, "linestring", F.array(F.array(F.concat(F.array(_at_length(m, d1)), inner, F.array(_at_length(m, d2))))))
+    def part(m: Column, total: Column) -> Column:
+        def cut(d1: Column, d2: Column) -> Column:
+            inner = F.transform(F.filter(m, lambda e: (e["s"] > d1) & (e["s"] < d2)), lambda e: e["a"])
+            return F.concat(F.array(_at_length(m, d1)), inner, F.array(_at_length(m, d2)))
+
+        return let(total * _number(f1), lambda d1: let(total * _number(f2), lambda d2: cut(d1, d2)))
+
+    return _like(g, "linestring", F.array(F.array(_along(g, part))))
 
 
 @on_geometry
 def locatepoint(g, p: Column) -> Column:
     """The share of a line's length where it is nearest to a point."""
-    m = _measured(g)
-    total = _sum(F.transform(m, lambda e: e["d"]))
-    best = F.array_min(F.transform(m, lambda e: F.struct(_to_segment(p, e).alias("d"), (e["s"] + _project(p, e) * e["d"]).alias("at"))))
-    return F.try_divide(best["at"], total)
+    near = lambda m, q: F.array_min(F.transform(m, lambda e: F.struct(_to_segment(q, e).alias("d"), (e["s"] + _project(q, e) * e["d"]).alias("at"))))
+    return let(p, lambda q: _along(g, lambda m, total: F.try_divide(near(m, q)["at"], total)))
 
 
 def closestpoint(p: Column, g) -> Column:

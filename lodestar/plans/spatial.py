@@ -154,8 +154,8 @@ def geo_text(spark, sf):
 @register("geo_along_lines")
 def geo_along_lines(spark, sf):
     """Points, parts and neighbours along each order's line."""
-    half = geo.interpolate("g", 0.5)
-    return _lines(spark, sf).select(
+    half = F.col("half")
+    return _lines(spark, sf).withColumn("half", geo.interpolate("g", 0.5)).select(
         "id", _r(geo.center(half)["x"]).alias("x"), _r(geo.center(half)["y"]).alias("y"), _r(geo.linelength(geo.linesubstring("g", 0.25, 0.75)) / geo.linelength("g")).alias("part"),
         _r(geo.locatepoint("g", geo.center(half))).alias("at"), geo.numpoints(geo.knn("g", geo.xyz(25, 30), 2)).alias("near"), geo.issimple("g").alias("simple"))
 
