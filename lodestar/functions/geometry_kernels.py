@@ -234,7 +234,8 @@ def _one(function: Callable[[dict], dict | None]):
         return pd.DataFrame([function(g) for g in _rows(frame)], columns=["gtype", "srid", "dim", "parts", "params", "metrics"])
 
     run.__annotations__ = {"frame": pd.DataFrame, "return": pd.DataFrame}
-    return F.pandas_udf(run, geo.GEOMETRY)
+    # not inlined into the expressions that use it: Spark takes it out of a projection only where it is worked out once
+    return F.pandas_udf(run, geo.GEOMETRY).asNondeterministic()
 
 
 def _two(function: Callable[[dict, dict], dict | None]):
@@ -242,7 +243,8 @@ def _two(function: Callable[[dict, dict], dict | None]):
         return pd.DataFrame([function(g, h) for g, h in zip(_rows(left), _rows(right), strict=True)], columns=["gtype", "srid", "dim", "parts", "params", "metrics"])
 
     run.__annotations__ = {"left": pd.DataFrame, "right": pd.DataFrame, "return": pd.DataFrame}
-    return F.pandas_udf(run, geo.GEOMETRY)
+    # not inlined into the expressions that use it: Spark takes it out of a projection only where it is worked out once
+    return F.pandas_udf(run, geo.GEOMETRY).asNondeterministic()
 
 
 def convexhull(g) -> Column:

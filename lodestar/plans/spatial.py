@@ -164,9 +164,10 @@ def geo_along_lines(spark, sf):
 def geo_hulls(spark, sf):
     """Hulls, bounding circles, triangles and cells of each order's points."""
     df = _lines(spark, sf).where(geo.numpoints("g") > 3)
-    return df.select(
-        "id", _r(geo.area(kernels.convexhull("g"))).alias("hull"), _r(kernels.minimumboundingcircle("g")["params"][0]).alias("radius"), _r(geo.area(kernels.delaunaytriangles("g"))).alias("triangles"),
-        _r(geo.area(kernels.voronoipolygons("g", (0.0, 0.0, 60.0, 120.0)))).alias("cells"))
+    made = df.select(
+        "id", kernels.convexhull("g").alias("hull"), kernels.minimumboundingcircle("g").alias("circle"), kernels.delaunaytriangles("g").alias("triangles"),
+        kernels.voronoipolygons("g", (0.0, 0.0, 60.0, 120.0)).alias("cells"))
+    return made.select("id", _r(geo.area("hull")).alias("hull"), _r(F.col("circle")["params"][0]).alias("radius"), _r(geo.area("triangles")).alias("triangles"), _r(geo.area("cells")).alias("cells"))
 
 
 @register(
@@ -177,4 +178,5 @@ def geo_overlay(spark, sf):
     """Union, intersection and difference of a rectangle and itself moved."""
     g = geo.rectangle("x", "y", "a", "b")
     df = _suppliers(spark, sf).select("id", g.alias("g"), geo.translate(g, 0.5, 0.25).alias("h"))
-    return df.select("id", _r(geo.area(kernels.intersection("g", "h"))).alias("common"), _r(geo.area(kernels.union("g", "h"))).alias("both"), _r(geo.area(kernels.difference("g", "h"))).alias("rest"))
+    made = df.select("id", kernels.intersection("g", "h").alias("common"), kernels.union("g", "h").alias("both"), kernels.difference("g", "h").alias("rest"))
+    return made.select("id", *[_r(geo.area(c)).alias(c) for c in ("common", "both", "rest")])
