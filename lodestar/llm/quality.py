@@ -5,9 +5,8 @@ normalised and hashed, Spark counts the distinct documents of each (host, line),
 lines above the limit are removed from their documents, and a document that is
 depleted by this is rejected.
 
-Copies of a document must not make its own lines look like boilerplate, so a
-document counts for a line as its sketch, the smallest hash among its *other*
-lines: copies and near copies share a sketch, unrelated documents do not.
+Exact copies of a document count once, as a document is the hash of its text, both
+for a line and for the host; documents that differ count each, near copies too.
 """
 
 from __future__ import annotations
@@ -90,31 +89,16 @@ def line_hashes(text: str | None) -> list[tuple[int, int]]:
     return out
 
 
-def _sketched_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each distinct line of each document, with the sketch that the document counts as."""
-    for batch in sliced(batches):
-        rows, hashes, sketches = [], [], []
-        for i, text in enumerate(batch.column(1).to_pylist()):
-            own = sorted({h for h, n in line_hashes(text) if n})
-            rows.append(np.full(len(own), i))
-            hashes += own
-            sketches += [own[0] if h != own[0] else own[min(1, len(own) - 1)] for h in own]
-        at = pa.array(np.concatenate(rows) if rows else [], pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0).take(at), pa.array(hashes, pa.int64()), pa.array(sketches, pa.int64())],
-            names=["host", "line", "sketch"],
-        )
-
-
 def boilerplate_lines(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
     """(host, line, n_docs) of the lines above the limits; docs has (host, text).
 
-    Distinct documents are counted in two steps, (host, line, sketch) first, so
-    that a line that a third of all documents hold is counted in many tasks.
+    Distinct documents are counted in two steps, (host, line, hash of the text)
+    first, so that a line that a third of all documents hold is counted in many tasks.
     """
-    lines = docs.select("host", "text").mapInArrow(_sketched_lines, "host string, line long, sketch long")
-    counted = lines.groupBy("host", "line").agg(F.countDistinct("sketch").alias("n_docs"))
-    total = docs.groupBy("host").agg(F.countDistinct(F.xxhash64("text")).alias("n_host"))
+    keyed = docs.select("host", "text", F.xxhash64("text").alias("key"))
+    lines = keyed.mapInArrow(_keyed_lines, "host string, line long, key long")
+    counted = lines.groupBy("host", "line").agg(F.countDistinct("key").alias("n_docs"))
+    total = keyed.groupBy("host").agg(F.countDistinct("key").alias("n_host"))
     return (
         counted.where(F.col("n_docs") > min_docs)
         .join(total, "host")
