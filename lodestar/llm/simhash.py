@@ -234,8 +234,18 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thre
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """One row of each component, the one of its smallest id, with all its columns.
 
-    Of rows that share the smallest id one stays.  Of all rows without an id one stays at most.
+    Of rows that share the smallest id the one of the smallest hash stays, and of a
+    component without ids too: a component keeps one row, and no row goes for
+    another component's sake.
     """
-    found = components(docs, doc_id, text, threshold)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs[doc_id].eqNullSafe(kept["__kept"]), "left_semi").dropDuplicates([doc_id])
+    kind = docs.schema[doc_id].dataType.simpleString()
+    keyed = docs.withColumn("__key", F.xxhash64(f"`{doc_id}`", f"`{text}`"))
+    rows = keyed.select(F.struct(F.col(f"`{doc_id}`").alias("id"), F.col("__key").alias("key")).alias("row"), F.col(f"`{text}`").alias("text"))
+    prints = rows.mapInArrow(_fingerprints, f"doc_id struct<id:{kind},key:bigint>, fp long")
+    least = F.min(F.struct(F.col("doc_id.id").isNull().alias("none"), F.col("doc_id.id").alias("id"), F.col("doc_id.key").alias("key")))
+    nodes = checkpointed(prints.groupBy("fp").agg(least.alias("first")))
+    labels = connected_components(link_fingerprints(nodes, threshold)).withColumnRenamed("node", "fp")
+    kept = nodes.join(labels, "fp", "left").groupBy(F.coalesce("label", "fp").alias("label")).agg(F.min("first").alias("first"))
+    kept = kept.select(F.col("first.id").alias("__id"), F.col("first.key").alias("__kept"))
+    same = (keyed["__key"] == kept["__kept"]) & keyed[doc_id].eqNullSafe(kept["__id"])
+    return keyed.join(kept, same, "left_semi").dropDuplicates([doc_id, "__key"]).drop("__key")

@@ -98,8 +98,8 @@ def unsqueeze(blob: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(size, -1).T).view(kind).ravel()
 
 
-#: Of a segment: 48 bits of the k-mer's hash, 48 of the segment's, its document, 16 bits of that text's hash, its place.
-COLUMNS = [("kmer", "<u8"), ("seg", "<u8"), ("doc", "<i8"), ("tag", "<u2"), ("lo", "<i4"), ("n", "<u1")]
+#: Of a segment: 48 bits of the k-mer's hash, 48 of the segment's, its document, the hash of that text, its place.
+COLUMNS = [("kmer", "<u8"), ("seg", "<u8"), ("doc", "<i8"), ("tag", "<i8"), ("lo", "<i4"), ("n", "<u1")]
 
 
 #: Added to n: the entry is of a k-mer that its run dealt by segments.
@@ -174,7 +174,7 @@ def _segment_runs(n_ranges: int, length: int, k: int):
                 )
                 at = np.searchsorted(ends, lo, side="right")
                 place = lo - (ends - sizes)[at] + np.array(offsets, dtype=np.int64)[at]
-                held.append((kmer >> np.uint64(16), seg >> np.uint64(16), np.array(ids, dtype=np.int64)[at], np.array(tags, dtype=np.uint16)[at], place.astype(np.int32), n.astype(np.uint8)))
+                held.append((kmer >> np.uint64(16), seg >> np.uint64(16), np.array(ids, dtype=np.int64)[at], np.array(tags, dtype=np.int64)[at], place.astype(np.int32), n.astype(np.uint8)))
                 count += len(lo)
 
         parts, ids, tags, offsets, size = [], [], [], [], 0
@@ -206,12 +206,12 @@ def _segment_runs(n_ranges: int, length: int, k: int):
 
 
 def _entries(columns: dict[str, np.ndarray], decided: np.ndarray) -> pa.Table:
-    kinds = {"kmer": pa.int64(), "doc": pa.int64(), "tag": pa.int32(), "lo": pa.int64(), "n": pa.int32()}
+    kinds = {"kmer": pa.int64(), "doc": pa.int64(), "tag": pa.int64(), "lo": pa.int64(), "n": pa.int32()}
     arrays = {c: pa.array(columns[c].astype(np.int64)).cast(kind) for c, kind in kinds.items() if c != "kmer"}
     return pa.table(arrays | {"decided": pa.array(decided)})
 
 
-ENTRY = "doc long, tag int, lo long, n int, decided boolean"
+ENTRY = "doc long, tag long, lo long, n int, decided boolean"
 
 
 def _decide_range(runs: pa.Table) -> pa.Table:
@@ -408,7 +408,7 @@ def _shared_hashes(blobs: pa.Table) -> pa.Table:
     return pa.table({"run": blobs.column("run"), "range": blobs.column("range"), "bits": pa.array([np.packbits(x).tobytes() for x in more], pa.binary()), "n": pa.array([len(x) for x in more], pa.int64())})
 
 
-RUN_COLUMNS = [("lcp", "<u1"), ("doc", "<i8"), ("tag", "<u2"), ("lo", "<i4")]
+RUN_COLUMNS = [("lcp", "<u1"), ("doc", "<i8"), ("tag", "<i8"), ("lo", "<i4")]
 RUN_SCHEMA = "range int, rest binary, " + ", ".join(f"{c} binary" for c, _ in RUN_COLUMNS)
 
 
@@ -594,7 +594,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = docs.select(
         F.col(f"`{doc_id}`").alias("id"),
         F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(last)).alias("doc"),
-        (F.pmod(F.xxhash64(f"`{text}`"), F.lit(65536)) if repeat else F.lit(0)).cast("int").alias("tag"),
+        (F.xxhash64(f"`{text}`") if repeat else F.lit(0)).cast("long").alias("tag"),
         F.col(f"`{text}`").alias("text"),
     )
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -612,7 +612,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         joined = rows.select("doc", "tag", "text").where(F.octet_length("text") >= length).join(listed(open_), ["doc", "tag"]).select("doc", "tag", "text", "los", "ns")
         n_runs, n_suffix_ranges = -(-n_open // SUFFIX_RUN), -(-n_open // RANGE_SUFFIXES)
         run_of = F.pmod(F.xxhash64("doc", "tag", F.floor(F.col("lo") / BLOCK)), F.lit(n_runs)).alias("run")
-        strings = shared_table(joined.mapInArrow(_segment_bytes(length), "doc long, tag int, lo long, data binary").select("*", run_of))
+        strings = shared_table(joined.mapInArrow(_segment_bytes(length), "doc long, tag long, lo long, data binary").select("*", run_of))
         hashes = strings.groupBy("run").applyInArrow(_run_hashes(n_suffix_ranges, length), "run long, range long, hashes binary")
         shared = hashes.groupBy("range").applyInArrow(_shared_hashes, "run long, range long, bits binary, n long")
         blocks = shared_table(strings.groupBy("run").cogroup(shared.groupBy("run")).applyInArrow(_suffix_runs(length), RUN_SCHEMA))
