@@ -28,7 +28,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ["assign", "access", "hex", "novel"]
 
 CONTEXT = re.compile(r"passw|passwd|pwd|secret|token|api_?key|access_?key|private_?key|credential|bearer|auth", re.I | re.A)
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+MIN_CHARS = 16
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_CHARS)
 IDENTIFIER = re.compile(r"[A-Za-z_]{3,32}")
 HINTS = ("passw", "pwd", "secret", "token", "apikey", "api_key", "access", "private", "credential", "bearer", "auth")
 
@@ -38,6 +39,8 @@ REACH, AROUND = 64, 256
 DICTIONARY_WORDS, MIN_TEXTS = 4_096, 2
 #: A candidate is reported if it costs so many bytes, and so many for each of its characters.
 MIN_BYTES, MIN_RATE = 12, 0.7
+#: A string of more characters is reported once, not again from each sensitive word within it.
+LONG = 4_096
 
 
 def known_spans(text: str) -> list[tuple[int, str, int]]:
@@ -61,20 +64,23 @@ def contexts(text: str) -> list[tuple[int, int]]:
 def candidates(text: str, known: list[tuple[int, str, int]], near: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """(start, end) of strings in sensitive contexts that no known format covers.
 
-    A candidate has letters and digits: words alone are prose or names.
+    A candidate has letters and digits: words alone are prose or names.  It begins
+    within REACH of its sensitive word and goes on to its own end, however far.
     """
-    out: list[tuple[int, int]] = []
+    out: dict[tuple[int, int], None] = {}
+    first = stop = digit = letter = -1  # of the run of characters that was looked at last
     for _, end in near:
-        for m in CANDIDATE.finditer(text, end, min(len(text), end + REACH + 4096)):
-            a, b = m.span()
-            if a > end + REACH:
-                break
-            s = m[0]
-            if not (any(c.isdigit() for c in s) and any(c.isalpha() for c in s)):
+        for m in CANDIDATE.finditer(text, end, min(len(text), end + REACH + MIN_CHARS)):
+            a = m.start()
+            if not first <= a < stop:  # sensitive words within one run share its end
+                first, stop = CANDIDATE.match(text, a).span()
+                digit = next((k for k in range(stop - 1, a - 1, -1) if text[k].isdigit()), -1)
+                letter = next((k for k in range(stop - 1, a - 1, -1) if text[k].isalpha()), -1)
+            if digit < a or letter < a:
                 continue
-            if (a, b) not in out and not any(x < b and a < y for x, _, y in known):
-                out.append((a, b))
-    return out
+            if (a, stop) not in out and not any(x < stop and a < y for x, _, y in known):
+                out[a, stop] = None
+    return list(out)
 
 
 class Novelty:
@@ -93,8 +99,10 @@ class Novelty:
         return len(self.compress(around + own)) - len(self.compress(around))
 
     def novel_spans(self, text: str, known: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
-        out = []
+        out: list[tuple[int, str, int]] = []
         for a, b in candidates(text, known, contexts(text)):
+            if b - a > LONG and out and out[-1][0] < a and out[-1][2] == b:
+                continue  # the end of a long string that is reported
             cost = self.cost(text, a, b)
             if cost >= MIN_BYTES and cost >= MIN_RATE * (b - a):
                 out.append((a, "novel", b))
