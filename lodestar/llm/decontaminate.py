@@ -2,8 +2,11 @@
 
 An item within e edits of some part of a document, cut into e + 1 pieces, has one
 piece that the edits leave alone.  So each normalised item is cut into e + 1
-pieces, an Aho-Corasick automaton finds the pieces in each normalised document,
-and Myers' bit-parallel distance verifies the item around each piece's place.
+pieces, and an Aho-Corasick automaton finds the pieces in each normalised document.
+The pieces are the leaves of a binary tree: as a part of k pieces has k - 1 edits
+at most or is not needed, one half of it has that too, and so the parts around a
+piece's place are verified from the smallest to the whole item by Myers'
+bit-parallel distance.  Pieces that are frequent fail at the first.
 """
 
 from __future__ import annotations
@@ -19,8 +22,6 @@ from lodestar.llm.common import sliced
 
 #: Edits allowed, as a share of the item's normalised length.
 ERROR_RATE = 0.1
-#: Pieces may not be shorter: an item that would need shorter ones is allowed fewer edits.
-MIN_PIECE = 12
 #: Characters of benchmark text that go to every task at once; more items are matched in blocks, one pass for each.
 MAX_BLOCK_CHARS = 4_000_000
 
@@ -31,8 +32,9 @@ def normalise(text: str | None) -> str:
     return b" ".join(raw.lower().split()).decode()  # of bytes: ASCII only
 
 
-def error_budget(n: int, rate: float = ERROR_RATE, min_piece: int = MIN_PIECE) -> int:
-    return max(0, min(int(rate * n), n // min_piece - 1))
+def error_budget(n: int, rate: float = ERROR_RATE) -> int:
+    """Edits that an item of n characters is allowed; an item needs a character that is left alone."""
+    return max(0, min(int(rate * n + 1e-9), n - 1))
 
 
 def cut_item(item: str, errors: int) -> list[tuple[int, str]]:
@@ -42,6 +44,20 @@ def cut_item(item: str, errors: int) -> list[tuple[int, str]]:
     return [(a, item[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
 
 
+def parts_above(n: int) -> list[list[tuple[int, int]]]:
+    """Of each of n pieces the parts (first, end) that have it, from two pieces up, without the whole."""
+    above: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+    waiting = [(0, n)]
+    while waiting:
+        a, b = waiting.pop()
+        if 1 < b - a < n:
+            for k in range(a, b):
+                above[k].insert(0, (a, b))
+        if b - a > 1:
+            waiting += [(a, (a + b) // 2), ((a + b) // 2, b)]
+    return above
+
+
 def best_match(pattern: str, text: str, errors: int) -> tuple[int, int] | None:
     """(distance, end) of the part of the text nearest to the pattern, the first such; None beyond the budget.
 
@@ -76,21 +92,30 @@ def best_match(pattern: str, text: str, errors: int) -> tuple[int, int] | None:
     return (best, at) if at >= 0 else None
 
 
+def _has(doc: str, at: int, part: str, errors: int) -> bool:
+    """Whether a part of an item is in the document, beginning within so many characters of a place."""
+    a, b = max(at - errors, 0), at + len(part) + errors
+    return doc.startswith(part, max(at, 0)) or best_match(part, doc[a:b], errors) is not None
+
+
 class Matcher:
     """Finds the items of one block in texts."""
 
-    def __init__(self, items: list[tuple], rate: float, min_piece: int):
+    def __init__(self, items: list[tuple], rate: float):
         import ahocorasick
 
         self.items = []
         self.automaton = ahocorasick.Automaton()
-        places: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        places: dict[str, list[tuple[int, int, list[tuple[int, str, int]]]]] = defaultdict(list)
         for item_id, text in items:
             item = normalise(text)
             if item:
-                errors = error_budget(len(item), rate, min_piece)
-                for offset, piece in cut_item(item, errors):
-                    places[piece].append((len(self.items), offset))
+                errors = error_budget(len(item), rate)
+                pieces = cut_item(item, errors)
+                ends = [*(a for a, _ in pieces), len(item)]
+                for (offset, piece), above in zip(pieces, parts_above(len(pieces)), strict=True):
+                    parts = [(offset - ends[a], item[ends[a] : ends[b]], b - a - 1) for a, b in above]
+                    places[piece].append((len(self.items), offset, parts))
                 self.items.append((item_id, item, errors))
         for piece, where in places.items():
             self.automaton.add_word(piece, (len(piece), where))
@@ -104,11 +129,17 @@ class Matcher:
         doc = normalise(text)
         windows: dict[int, list[list[int]]] = {}
         for end, (n, where) in self.automaton.iter(doc):
-            for k, offset in where:
+            for k, offset, parts in where:
                 item_id, item, errors = self.items[k]
                 a = end + 1 - n - offset - errors
                 b = a + len(item) + 2 * errors
-                own = windows.setdefault(k, [])
+                own = windows.get(k)
+                if own and own[-1][0] <= a and b <= own[-1][1]:
+                    continue
+                if not all(_has(doc, end + 1 - n - before, part, most) for before, part, most in parts):
+                    continue
+                if own is None:
+                    own = windows[k] = []
                 if own and a <= own[-1][1]:  # windows that overlap are verified as one
                     own[-1][0], own[-1][1] = min(own[-1][0], a), max(own[-1][1], b)
                 else:
@@ -150,7 +181,6 @@ def matches(
     item_id: str = "item_id",
     item_text: str = "text",
     error_rate: float = ERROR_RATE,
-    min_piece: int = MIN_PIECE,
     max_block_chars: int = MAX_BLOCK_CHARS,
 ) -> DataFrame:
     """(doc_id, item_id, distance): every document and every item that a part of it is within the budget of.
@@ -166,7 +196,7 @@ def matches(
 
     def finder(block: list[tuple]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(block, error_rate, min_piece)
+            matcher = Matcher(block, error_rate)
             for batch in sliced(batches):
                 at, items, distances = [], [], []
                 for i, t in enumerate(batch.column(1).to_pylist()):
@@ -195,7 +225,6 @@ def remove_contaminated(
     item_id: str = "item_id",
     item_text: str = "text",
     error_rate: float = ERROR_RATE,
-    min_piece: int = MIN_PIECE,
     max_block_chars: int = MAX_BLOCK_CHARS,
 ) -> DataFrame:
     """The rows of docs, all columns, that have no part within the budget of an item.
@@ -205,7 +234,7 @@ def remove_contaminated(
 
     def keeper(block: list[tuple], at: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(block, error_rate, min_piece)
+            matcher = Matcher(block, error_rate)
             for batch in sliced(batches):
                 yield batch.filter(pa.array([not matcher(t) for t in batch.column(at).to_pylist()], pa.bool_()))
 
