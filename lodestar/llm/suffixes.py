@@ -1,25 +1,27 @@
 """Exact removal of repeated byte strings by a distributed merge sort of suffixes.
 
 A byte goes if a string of ``length`` bytes over it also starts in a document
-with a smaller id.  Sorting every suffix of a corpus would ship each of them some
-tens of bytes, so only those suffixes are sorted that hashes can't decide:
-
-1. Each string of ``length`` bytes has an anchor, the least hash among its k-mers.
-   Strings of one anchor lie side by side, and their union is a segment; equal
-   strings have equal k-mers at their anchors.  Runs of (k-mer, segment) hashes,
-   sorted and compressed column by column, are exchanged by ranges of the k-mer
-   hash.  Segments that are equal as a whole are decided: all but the ones of the
-   smallest document go.  A k-mer that no other document's segments have is decided too.
-2. What is left are the first segments of k-mers that differ around them, at the
-   ends of repeated passages.  Suffixes whose hash no other run has are left out.
-   The others are sorted in each run, front-coded (length of the prefix common
-   with the suffix before, and the rest), exchanged by ranges of suffixes, and
-   merged by a loser tree that compares two suffixes only beyond the prefixes
-   known to be common.  Of equal strings all but those of the smallest document go.
-
-In both steps a task first decides what it can within its own run and sends one
-document for each distinct string or segment, so that copies of a passage, however
-many, give one entry for each run.
+with a smaller id.  Two rounds of one merge sort find these strings:
+
+1. Each string of ``length`` bytes has an anchor, the k-mer of the least hash in it.
+   Strings of one anchor lie side by side, and their union is a segment.  The
+   suffix at each anchor is sorted, up to its segment's end, and then by what the
+   segment has before the anchor, from right to left.  So equal segments, and the
+   segments of one k-mer, come together: all equal ones but those of the smallest
+   document go, and a k-mer that no other document's segments have is done with.
+2. What is left are segments of one k-mer that differ around it, at the ends of
+   repeated passages.  All their suffixes of ``length`` bytes are sorted; of equal
+   ones all but those of the smallest document go.
+
+A round deals its strings to runs.  Each run is sorted, keeps one document of each
+string, and is front-coded (length of the prefix common with the string before, and
+the rest) piece by piece, as ranges of hashes deal it out.  Each range is merged by
+a loser tree that compares two strings only beyond the prefixes known to be common,
+and it is the merge, of bytes, that decides.  Hashes only leave strings out before:
+a string goes on if another run, or another document of its run, has its hash.
+
+A k-mer with very many segments is dealt by segments, so no range takes all of it,
+and copies of a passage, however many, give one string for each run.
 """
 
 from __future__ import annotations
@@ -29,37 +31,38 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import shared_table, sliced
 
 LENGTH = 50
 KMER = 24
-#: Windows that are hashed at once, segments in a run, and bytes of input for each range of the first exchange.
-BLOCK, RUN, RANGE_BYTES = 1 << 18, 1_000_000, 8_000_000
-#: A k-mer with more distinct segments in a run is dealt by segments, so that no range takes all that it has.
+#: Bytes that are hashed at once, bytes in a run of the first round and in a range of its merge.
+BLOCK, RUN_BYTES, RANGE_BYTES = 1 << 18, 4_000_000, 4_000_000
+#: A k-mer with more segments in a run is dealt by segments.
 HOT = 64
-#: Suffixes in a run of the second step, suffixes in a range, and suffixes sampled for each range.
-SUFFIX_RUN, RANGE_SUFFIXES, SAMPLE = 400_000, 200_000, 8
+#: Suffixes in a run of the second round, and in a range of its merge.
+SUFFIX_RUN, RANGE_SUFFIXES = 200_000, 200_000
+#: Rows of a byte matrix that are worked on at once.
+ROWS = 32_768
 
 
-# --- step 1: anchors and segments -------------------------------------------------------------
+# --- segments and windows ---------------------------------------------------------------------
 
 
 def segments(data: bytes, starts: np.ndarray, ends: np.ndarray, length: int = LENGTH, k: int = KMER) -> tuple[np.ndarray, ...]:
-    """(k-mer hash, first window, windows) of the segments of documents that lie one after another in ``data``."""
+    """(hash of the anchor, anchor, first window, windows) of the segments of texts that lie one after another in ``data``."""
     n = len(data) - length + 1
     none = np.zeros(0, dtype=np.int64)
     if n < 1:
-        return none.view(np.uint64), none, none
-    raw = np.frombuffer(data, dtype=np.uint8)
-    words = np.ndarray((len(data) - 7,), dtype="<u8", buffer=raw, strides=(1,))
+        return none.view(np.uint64), none, none, none
+    words = np.ndarray((len(data) - 7,), dtype="<u8", buffer=np.frombuffer(data, dtype=np.uint8), strides=(1,))
     h = words[: len(data) - k + 1] * np.uint64(0x9E3779B97F4A7C15)
-    h ^= h >> np.uint64(31)
-    h += words[k - 8 : len(data) - 7] * np.uint64(0xC2B2AE3D27D4EB4F)
+    for at in sorted({*range(8, k - 8, 8), k - 8}):  # of all bytes of the k-mer
+        h ^= h >> np.uint64(31)
+        h += words[at : len(data) - k + 1 + at] * np.uint64(0xC2B2AE3D27D4EB4F)
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
@@ -71,19 +74,72 @@ def segments(data: bytes, starts: np.ndarray, ends: np.ndarray, length: int = LE
         least = np.minimum(least[:-size], least[size:])
         size *= 2
     if size < width:
-        least = np.minimum(least[: n], least[width - size : width - size + n])
+        least = np.minimum(least[:n], least[width - size : width - size + n])
     anchor = (least[:n] & np.uint64((1 << bits) - 1)).astype(np.int64)
-    edge = np.zeros(n + 1, dtype=np.int32)  # windows that lie in one document
+    edge = np.zeros(n + 1, dtype=np.int32)  # windows that lie in one text
     whole = ends - starts >= length
     np.add.at(edge, starts[whole], 1)
     np.add.at(edge, ends[whole] - length + 1, -1)
     inside = np.flatnonzero(np.cumsum(edge[:n]) > 0)
     if not len(inside):
-        return none.view(np.uint64), none, none
+        return none.view(np.uint64), none, none, none
     own = anchor[inside]
     begins = np.concatenate([[0], np.flatnonzero((own[1:] != own[:-1]) | (inside[1:] != inside[:-1] + 1)) + 1])
     counts = np.diff(np.concatenate([begins, [len(own)]]))
-    return h[own[begins]], inside[begins], counts
+    least = h[own[begins]]  # least hashes are small: mixed again, so that ranges of them are alike
+    least = (least ^ least >> np.uint64(29)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return (least ^ least >> np.uint64(32)) >> np.uint64(16), own[begins], inside[begins], counts
+
+
+def segment_keys(raw: np.ndarray, anchor: np.ndarray, lo: np.ndarray, n: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(byte matrix, sizes): anchor k-mer, bytes from it on and before it, those that follow, those before from right to left.
+
+    The two counts after the k-mer make unequal strings differ before either ends.
+    """
+    wide = 2 * (length - k)
+    out = np.zeros((len(anchor), k + 2 + wide), dtype=np.uint8)
+    sizes = (k + 2 + n - 1 + length - k).astype(np.uint8)
+    for s in range(0, len(anchor), ROWS):
+        a, l, w = anchor[s : s + ROWS, None], lo[s : s + ROWS, None], n[s : s + ROWS, None]
+        part = out[s : s + ROWS]
+        part[:, :k] = raw[a + np.arange(k)]
+        after, before = l + w + length - 1 - a, a - l
+        part[:, k], part[:, k + 1] = after[:, 0], before[:, 0]
+        j = np.arange(wide)
+        right = after - k
+        from_ = np.where(j < right, a + k + j, a - 1 - (j - right))
+        part[:, k + 2 :] = np.where(j < right + before, raw[np.clip(from_, 0, len(raw) - 1)], 0)
+    return out, sizes
+
+
+def segment_of(key: bytes, k: int) -> bytes:
+    """The bytes of the segment that a key spells."""
+    right = key[k] - k
+    return key[: k + 1 + right : -1] + key[:k] + key[k + 2 : k + 2 + right]
+
+
+def mixed(matrix: np.ndarray) -> np.ndarray:
+    """48-bit hashes of the rows of a byte matrix."""
+    out = np.empty(len(matrix), dtype=np.uint64)
+    width = -(-matrix.shape[1] // 8) * 8
+    for s in range(0, len(matrix), ROWS):
+        part = matrix[s : s + ROWS]
+        padded = np.zeros((len(part), width), dtype=np.uint8)
+        padded[:, : matrix.shape[1]] = part
+        h = np.full(len(part), 0x27D4EB2F165667C5, dtype=np.uint64)
+        for word in padded.view("<u8").T:
+            h = (h ^ word) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(32)
+        h *= np.uint64(0xC2B2AE3D27D4EB4F)
+        out[s : s + ROWS] = (h ^ h >> np.uint64(29)) >> np.uint64(16)
+    return out
+
+
+def range_of(hashes: np.ndarray, n_ranges: int) -> np.ndarray:
+    return ((hashes >> np.uint64(16)) * np.uint64(n_ranges) >> np.uint64(32)).astype(np.int64)
+
+
+# --- front-coded runs -------------------------------------------------------------------------
 
 
 def squeeze(column: np.ndarray) -> bytes:
@@ -98,443 +154,351 @@ def unsqueeze(blob: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(size, -1).T).view(kind).ravel()
 
 
-#: Of a segment: 48 bits of the k-mer's hash, 48 of the segment's, its document, the hash of that text, its place.
-COLUMNS = [("kmer", "<u8"), ("seg", "<u8"), ("doc", "<i8"), ("tag", "<i8"), ("lo", "<i4"), ("n", "<u1")]
-
-
-#: Added to n: the entry is of a k-mer that its run dealt by segments.
-IS_HOT = 128
+def changes(rows: np.ndarray) -> np.ndarray:
+    """Which rows of a byte matrix differ from the one before; the first does."""
+    out = np.ones(len(rows), dtype=bool)
+    for s in range(1, len(rows), ROWS):
+        out[s : s + ROWS] = (rows[s : s + ROWS] != rows[s - 1 : s - 1 + ROWS][: len(rows) - s]).any(axis=1)
+    return out
 
 
-def decide(kmer: np.ndarray, seg: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(order, beaten, first of its kind) of entries sorted by k-mer, segment and document.
+def front_code(rows: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """Common prefix of each sorted row with the one before (0 for the first), and all rests.
 
-    beaten: an equal segment is in a smaller document.
+    Rows are padded to one width; equal rows have their whole size in common.
     """
-    order = np.lexsort((doc, seg, kmer))
-    k, s, d = kmer[order], seg[order], doc[order]
-    new = np.ones(len(order), dtype=bool)
-    new[1:] = (k[1:] != k[:-1]) | (s[1:] != s[:-1])
-    first = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
-    return order, d != d[first], new
-
-
-def _segment_runs(n_ranges: int, length: int, k: int):
-    """Rows (range, blob of a run's entries in that range) and, with range -1, (document, segments decided here)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-        count, seen = 0, set()
-
-        def flush():
-            kmer, seg, doc, tag, lo, n = (np.concatenate(c) for c in zip(*held, strict=True))
-            order, beaten, _ = decide(kmer, seg, doc)
-            sent = order[~beaten]
-            columns = [x[sent] for x in (kmer, seg, doc, tag, lo, n)]
-            part = (columns[0] >> np.uint64(16)) * np.uint64(n_ranges) >> np.uint64(32)
-            start = np.flatnonzero(np.concatenate([[True], columns[0][1:] != columns[0][:-1]]))
-            counts = np.diff(np.concatenate([start, [len(sent)]]))
-            low, high = np.minimum.reduceat(columns[2], start), np.maximum.reduceat(columns[2], start)
-            wide = (counts > HOT) & (low < high)
-            if wide.any():
-                hot = np.repeat(wide, counts)
-                part[hot] = (columns[1][hot] >> np.uint64(16)) * np.uint64(n_ranges) >> np.uint64(32)
-                columns[5] = columns[5] | np.where(hot, IS_HOT, 0).astype(np.uint8)
-                # two marks without windows tell the k-mer's own range that more than one document has it
-                for j, extra in enumerate((kmer[sent][start[wide]], 0, None, 0, 0, 0)):
-                    added = np.concatenate([low[wide], high[wide]]) if extra is None else np.tile(np.broadcast_to(extra, wide.sum()), 2)
-                    columns[j] = np.concatenate([columns[j], added.astype(columns[j].dtype)])
-                own = (columns[0][len(sent) :] >> np.uint64(16)) * np.uint64(n_ranges) >> np.uint64(32)
-                part = np.concatenate([part, own])
-                again = np.argsort(part, kind="stable")
-                part, columns = part[again], [c[again] for c in columns]
-            cuts = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]])
-            ranges, blobs = [], []
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                ranges.append(int(part[a]))
-                blobs.append([squeeze(c[a:b].astype(kind)) for c, (_, kind) in zip(columns, COLUMNS, strict=True)])
-            if len(gone := order[beaten]):
-                ranges.append(-1)
-                blobs.append([squeeze(c[gone].astype(kind)) for c, (_, kind) in zip((kmer, seg, doc, tag, lo, n), COLUMNS, strict=True)])
-            return pa.RecordBatch.from_arrays(
-                [pa.array(ranges, pa.int32()), *(pa.array([x[j] for x in blobs], pa.binary()) for j in range(len(COLUMNS)))],
-                names=["range", *(c for c, _ in COLUMNS)],
-            )
-
-        def hashed(parts: list[bytes], ids: list[int], tags: list[int], offsets: list[int]) -> None:
-            nonlocal count
-            data = b"".join(parts)
-            sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
-            ends = np.cumsum(sizes)
-            kmer, lo, n = segments(data, ends - sizes, ends, length, k)
-            if len(lo):
-                digest = xxhash.xxh3_64_intdigest
-                seg = np.fromiter(
-                    (digest(data[a:b]) for a, b in zip(lo.tolist(), (lo + n + length - 1).tolist(), strict=True)), dtype=np.uint64, count=len(lo)
-                )
-                at = np.searchsorted(ends, lo, side="right")
-                place = lo - (ends - sizes)[at] + np.array(offsets, dtype=np.int64)[at]
-                held.append((kmer >> np.uint64(16), seg >> np.uint64(16), np.array(ids, dtype=np.int64)[at], np.array(tags, dtype=np.int64)[at], place.astype(np.int32), n.astype(np.uint8)))
-                count += len(lo)
-
-        parts, ids, tags, offsets, size = [], [], [], [], 0
-        for batch in sliced(batches):
-            for doc, tag, text in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-                raw = (text or "").encode()
-                if len(raw) < length or (doc, tag, len(raw)) in seen:
-                    continue
-                seen.add((doc, tag, len(raw)))
-                for a in range(0, len(raw) - length + 1, BLOCK):  # long texts: blocks of windows
-                    part = raw[a : a + BLOCK + length - 1]
-                    if size + len(part) > 2 * BLOCK and parts:
-                        hashed(parts, ids, tags, offsets)
-                        parts, ids, tags, offsets, size = [], [], [], [], 0
-                    parts.append(part)
-                    ids.append(doc)
-                    tags.append(tag)
-                    offsets.append(a)
-                    size += len(part)
-                    if count >= RUN:
-                        yield flush()
-                        held, count, seen = [], 0, set()
-        if parts:
-            hashed(parts, ids, tags, offsets)
-        if held:
-            yield flush()
-
-    return run
-
-
-def _entries(columns: dict[str, np.ndarray], decided: np.ndarray) -> pa.Table:
-    kinds = {"kmer": pa.int64(), "doc": pa.int64(), "tag": pa.int64(), "lo": pa.int64(), "n": pa.int32()}
-    arrays = {c: pa.array(columns[c].astype(np.int64)).cast(kind) for c, kind in kinds.items() if c != "kmer"}
-    return pa.table(arrays | {"decided": pa.array(decided)})
-
-
-ENTRY = "doc long, tag long, lo long, n int, decided boolean"
-
-
-def _decide_range(runs: pa.Table) -> pa.Table:
-    """The entries of one range that are decided to go, and those to be looked at in the second step."""
-    blocks = {c: np.concatenate([unsqueeze(x, kind) for x in runs.column(c).to_pylist()]) for c, kind in COLUMNS}
-    if runs.column("range")[0].as_py() < 0:
-        return _entries(blocks, np.ones(len(blocks["doc"]), dtype=bool))
-    hot, mark = blocks["n"] >= IS_HOT, blocks["n"] == 0
-    blocks["n"] = blocks["n"] % IS_HOT
-    order, beaten, _ = decide(blocks["kmer"], blocks["seg"], blocks["doc"])
-    kmer, doc, hot, mark = blocks["kmer"][order], blocks["doc"][order], hot[order], mark[order]
-    beaten &= ~mark
-    start = np.ones(len(order), dtype=bool)
-    start[1:] = kmer[1:] != kmer[:-1]
-    group = np.cumsum(start) - 1
-    # of the k-mer's segments that no smaller document has: do they lie in more than one document?
-    low = np.full(group[-1] + 1, np.iinfo(np.int64).max)
-    high = np.full(group[-1] + 1, np.iinfo(np.int64).min)
-    np.minimum.at(low, group[~beaten], doc[~beaten])
-    np.maximum.at(high, group[~beaten], doc[~beaten])
-    open_ = ~beaten & ~mark & (hot | (low < high)[group])
-    take = beaten | open_
-    return _entries({c: blocks[c][order[take]] for c, _ in COLUMNS}, beaten[take])
-
-
-# --- step 2: suffixes -------------------------------------------------------------------------
-
-
-def common_prefix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Bytes that the rows of two byte matrices begin with alike."""
-    differ = a != b
-    return np.where(differ.any(axis=1), differ.argmax(axis=1), a.shape[1])
-
-
-def front_code(sorted_rows: np.ndarray) -> tuple[np.ndarray, bytes]:
-    """Common prefix with the row before (0 for the first), and all rests."""
-    lcp = np.zeros(len(sorted_rows), dtype=np.int64)
-    if len(sorted_rows) > 1:
-        lcp[1:] = common_prefix(sorted_rows[1:], sorted_rows[:-1])
-    rest = np.arange(sorted_rows.shape[1])[None, :] >= lcp[:, None]
-    return lcp, sorted_rows[rest].tobytes()
-
-
-def decode_run(lcp: list[int], rest: bytes, length: int) -> Iterator[tuple[int, bytes]]:
+    lcp, rests = np.zeros(len(rows), dtype=np.int64), []
+    at = np.arange(rows.shape[1])
+    for s in range(0, len(rows), ROWS):
+        part, size = rows[s : s + ROWS], sizes[s : s + ROWS].astype(np.int64)
+        before = rows[max(s - 1, 0) : s + len(part) - 1] if s else np.concatenate([part[:1], part[:-1]])
+        differ = part != before
+        own = np.where(differ.any(axis=1), differ.argmax(axis=1), size)
+        if not s:
+            own[:1] = 0
+        lcp[s : s + ROWS] = own
+        rests.append(part[(at >= own[:, None]) & (at < size[:, None])].tobytes())
+    return lcp, b"".join(rests)
+
+
+def decode_run(lcp: list[int], sizes: list[int], rest: bytes) -> Iterator[tuple[int, bytes]]:
     """(common prefix with the row before, row) of a front-coded run."""
     row, at = b"", 0
-    for p in lcp:
-        n = length - p
-        row = row[:p] + rest[at : at + n]
-        at += n
+    for p, size in zip(lcp, sizes, strict=True):
+        end = at + size - p
+        row = row[:p] + rest[at:end]
+        at = end
         yield p, row
 
 
-def merge_runs(runs: list[Iterator[tuple[int, bytes]]]) -> Iterator[tuple[int, int]]:
-    """(run, common prefix with the row given before) of all rows of sorted runs, in order.
+def merge_runs(runs: list[Iterator[tuple[int, bytes]]]) -> Iterator[tuple[int, int, bytes]]:
+    """(run, common prefix with the row given before, row) of all rows of sorted runs, in order.
 
     A loser tree.  Each waiting row knows its common prefix with the last winner
     on its path: the longer prefix is the smaller row, and only rows of equal
-    prefixes are compared, from there on.  Equal rows come in order of runs.
+    prefixes are compared, from there on.  Equal rows come in order of runs.  No
+    row may be a proper prefix of another.
     """
+    if not runs:
+        return
     k = 1
     while k < len(runs):
         k *= 2
     ended = (-1, b"")
     heads = [next(r, ended) for r in runs] + [ended] * (k - len(runs))
-    iterators = runs
-    prefix = [h[0] for h in heads]  # -1: the run has ended
+    prefix = [min(h[0], 0) for h in heads]  # -1: the run has ended
     rows = [h[1] for h in heads]
-    if not runs:
-        return
-    prefix = [0 if p >= 0 else -1 for p in prefix]
+    number = int.from_bytes
 
     def duel(a: int, b: int) -> tuple[int, int]:
         """(winner, loser); the loser's prefix becomes the one with the winner."""
-        pa_, pb = prefix[a], prefix[b]
-        if pa_ != pb:
-            return (a, b) if pa_ > pb else (b, a)
-        if pa_ < 0:
+        p = prefix[a]
+        if p != prefix[b]:
+            return (a, b) if p > prefix[b] else (b, a)
+        if p < 0:
             return (a, b) if a < b else (b, a)
-        x, y = rows[a][pa_:], rows[b][pa_:]
+        x, y = rows[a], rows[b]
         if x == y:
-            prefix[max(a, b)] = pa_ + len(x)
-            return (a, b) if a < b else (b, a)
-        differ = int.from_bytes(x) ^ int.from_bytes(y)  # the first byte that differs is the highest
-        at = pa_ + len(x) - (differ.bit_length() + 7) // 8
+            if a > b:
+                a, b = b, a
+            prefix[b] = len(x)
+            return a, b
         if x > y:
             a, b = b, a
-        prefix[b] = at
+        end = min(len(x), len(y))
+        differ = number(x[p:end]) ^ number(y[p:end])  # the first byte that differs is the highest
+        prefix[b] = end - (differ.bit_length() + 7) // 8
         return a, b
 
-    tree = [0] * k  # the losers; tree[0]: the winner
-    winners = list(range(k))
+    tree = [0] * k  # the losers
+    level = list(range(k))
     at = k
-    level = winners
     while at > 1:
         at //= 2
         up = []
         for j in range(at):
-            w, lost = duel(level[2 * j], level[2 * j + 1])
-            tree[at + j] = lost
-            up.append(w)
+            won, tree[at + j] = duel(level[2 * j], level[2 * j + 1])
+            up.append(won)
         level = up
     champion = level[0]
     while prefix[champion] >= 0:
-        yield champion, prefix[champion]
-        got = next(iterators[champion], ended)
-        prefix[champion], rows[champion] = got  # its prefix with the row just given
-        w = champion
+        yield champion, prefix[champion], rows[champion]
+        prefix[champion], rows[champion] = next(runs[champion], ended) if champion < len(runs) else ended
         node = (k + champion) // 2
         while node:
-            w, tree[node] = duel(w, tree[node])
+            other = tree[node]
+            p, q = prefix[champion], prefix[other]
+            if p == q:
+                champion, tree[node] = duel(champion, other)
+            elif p < q:
+                champion, tree[node] = other, champion
             node //= 2
-        champion = w
 
 
-def _segment_bytes(length: int):
-    """A row for each open segment, with its bytes."""
+#: Of a string: its common prefix, its size, its document, the hash of that text, its place, its windows.
+COLUMNS = [("lcp", "<u1"), ("size", "<u1"), ("doc", "<i8"), ("tag", "<i8"), ("lo", "<i4"), ("n", "<u1")]
+PIECE = "run long, range long, rest binary, " + ", ".join(f"{c} binary" for c, _ in COLUMNS)
+#: Added to n: the string's k-mer was dealt by segments.
+IS_HOT = 128
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
-            rows, places, data = [], [], []
-            for i, (text, los, ns) in enumerate(zip(*(batch.column(c).to_pylist() for c in (2, 3, 4)), strict=True)):
-                raw = text.encode()
-                rows += [i] * len(los)
-                places += los
-                data += [raw[lo : lo + n + length - 1] for lo, n in zip(los, ns, strict=True)]
-            at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(1).take(at), pa.array(places, pa.int64()), pa.array(data, pa.binary())],
-                names=["doc", "tag", "lo", "data"],
-            )
 
-    return run
+def _pieces(rows: list[tuple]) -> pa.Table:
+    names = ["run", "range", "rest", *(c for c, _ in COLUMNS)]
+    columns = list(zip(*rows, strict=True)) or [[]] * len(names)
+    return pa.table({c: pa.array(x, pa.int64() if c in ("run", "range") else pa.binary()) for c, x in zip(names, columns, strict=True)})
 
 
-def window_hashes(matrix: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the rows of a byte matrix."""
-    width = -(-matrix.shape[1] // 8) * 8
-    padded = np.zeros((len(matrix), width), dtype=np.uint8)
-    padded[:, : matrix.shape[1]] = matrix
-    h = np.full(len(matrix), 0x27D4EB2F165667C5, dtype=np.uint64)
-    for word in padded.view("<u8").T:
-        h = (h ^ word) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(32)
-    h *= np.uint64(0xC2B2AE3D27D4EB4F)
-    return h ^ h >> np.uint64(29)
-
-
-def _windows(segments_: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(all bytes, where each window begins, document, tag, place) of the windows of a run's segments."""
-    segments_ = segments_.sort_by([("doc", "ascending"), ("tag", "ascending"), ("lo", "ascending")])
-    data = segments_.column("data").to_pylist()
-    sizes = np.fromiter(map(len, data), dtype=np.int64, count=len(data))
-    n = sizes - length + 1
-    within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    raw = np.frombuffer(b"".join(data), dtype=np.uint8)
-    doc, tag, lo = (np.repeat(segments_.column(c).to_numpy().astype(np.int64), n) for c in ("doc", "tag", "lo"))
-    return raw, np.repeat(np.cumsum(sizes) - sizes, n) + within, doc, tag, lo + within
+def sorted_run(run: int, rows: np.ndarray, sizes: np.ndarray, places: dict[str, np.ndarray], kmer: np.ndarray, n_ranges: int, k: int) -> pa.Table:
+    """The pieces of a run, by range, and with range -1 the strings that the run decides.
+
+    places: doc, tag, lo and n of each string.  kmer: a hash of its first k bytes.
+    """
+    keys = rows.view(f"S{rows.shape[1]}").ravel()
+    order = np.lexsort((places["doc"], keys))
+    rows, sizes, kmer = rows[order], sizes[order], kmer[order]
+    places = {c: x[order] for c, x in places.items()}
+    doc = places["doc"]
+    new = changes(rows)
+    first = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+    beaten = doc != doc[first]
+    out: list[tuple] = []
+
+    def add(range_: int, rest: bytes, **columns) -> None:
+        out.append((run, range_, rest, *(squeeze(columns[c].astype(kind)) for c, kind in COLUMNS)))
+
+    if beaten.any():
+        gone = {c: x[beaten] for c, x in places.items()}
+        add(-1, b"", lcp=np.zeros(len(gone["doc"])), size=np.zeros(len(gone["doc"])), **gone)
+    rows, sizes, kmer = rows[~beaten], sizes[~beaten], kmer[~beaten]
+    places = {c: x[~beaten] for c, x in places.items()}
+    part = range_of(kmer, n_ranges)
+    start = np.flatnonzero(changes(rows[:, :k]))
+    counts = np.diff(np.concatenate([start, [len(rows)]]))
+    low, high = np.minimum.reduceat(places["doc"], start), np.maximum.reduceat(places["doc"], start)
+    wide = (counts > HOT) & (low < high)
+    if rows.shape[1] > k and wide.any():
+        hot = np.repeat(wide, counts)
+        part[hot] = range_of(mixed(rows[hot]), n_ranges)
+        places["n"] = places["n"] | np.where(hot, IS_HOT, 0).astype(places["n"].dtype)
+        # two marks without windows tell the k-mer's own range that more than one document has it
+        marks = np.zeros((2 * int(wide.sum()), rows.shape[1]), dtype=np.uint8)
+        marks[:, :k] = np.tile(rows[start[wide], :k], (2, 1))
+        rows = np.concatenate([rows, marks])
+        sizes = np.concatenate([sizes, np.full(len(marks), k + 2, dtype=sizes.dtype)])
+        part = np.concatenate([part, np.tile(range_of(kmer[start[wide]], n_ranges), 2)])
+        added = {"doc": np.concatenate([low[wide], high[wide]])}
+        places = {c: np.concatenate([x, added.get(c, np.zeros(len(marks))).astype(x.dtype)]) for c, x in places.items()}
+        again = np.argsort(rows.view(f"S{rows.shape[1]}").ravel(), kind="stable")
+        rows, sizes, part = rows[again], sizes[again], part[again]
+        places = {c: x[again] for c, x in places.items()}
+    by_range = np.argsort(part, kind="stable")  # sorted within each range
+    part = part[by_range]
+    cuts = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]])
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        at = by_range[a:b]
+        if len(at):
+            lcp, rest = front_code(rows[at], sizes[at])
+            add(int(part[a]), zstandard.compress(rest, 3), lcp=lcp, size=sizes[at], **{c: x[at] for c, x in places.items()})
+    return _pieces(out)
+
+
+ENTRY = "doc long, tag long, lo long, n int, data binary"
+
+
+def merge_range(k: int):
+    """Over the pieces of one range: a row for each string that goes, and one with its bytes for each that is open.
+
+    A string goes if a smaller document has an equal one.  Those that stay are
+    open if the documents that share their first k bytes are more than one.
+    """
 
+    def run(pieces: pa.Table) -> pa.Table:
+        blobs = {c: [unsqueeze(x, kind) for x in pieces.column(c).to_pylist()] for c, kind in COLUMNS}
+        place = {c: np.concatenate(blobs[c]) for c in ("doc", "tag", "lo", "n")}
+        if pieces.column("range")[0].as_py() < 0:
+            return _entries(place, np.ones(len(place["doc"]), dtype=bool), {})
+        starts = np.cumsum([0, *map(len, blobs["doc"])]).tolist()
+        rests = pieces.column("rest").to_pylist()
+        made = [decode_run(p.tolist(), s.tolist(), zstandard.decompress(x)) for p, s, x in zip(blobs["lcp"], blobs["size"], rests, strict=True)]
+        at, prefix, keys = [], [], []
+        for r, p, key in merge_runs(made):
+            at.append(starts[r])
+            starts[r] += 1
+            prefix.append(p)
+            keys.append(key)
+        order, common = np.array(at), np.array(prefix)
+        place = {c: x[order] for c, x in place.items()}
+        doc, hot, mark = place["doc"], place["n"] >= IS_HOT, place["n"] == 0
+        place["n"] = place["n"] % IS_HOT
+        sizes = np.fromiter(map(len, keys), dtype=np.int64, count=len(keys))
+        new = common < sizes
+        new[0] = True
+        same = np.cumsum(new) - 1
+        least = np.minimum.reduceat(doc, np.flatnonzero(new))
+        beaten = (doc > least[same]) & ~mark
+        begins = common < k
+        begins[0] = True
+        group, start = np.cumsum(begins) - 1, np.flatnonzero(begins)
+        far = np.iinfo(np.int64).max
+        low = np.minimum.reduceat(np.where(beaten, far, doc), start)
+        high = np.maximum.reduceat(np.where(beaten, -far, doc), start)
+        is_open = ~beaten & ~mark & (hot | (low < high)[group])
+        return _entries(place, beaten, {int(i): segment_of(keys[i], k) for i in np.flatnonzero(is_open)} if k < sizes.max() else {})
 
-def _rows(raw: np.ndarray, begins: np.ndarray, length: int) -> np.ndarray:
-    return np.lib.stride_tricks.sliding_window_view(raw, length)[begins]
+    return run
 
 
-def _hashed(raw: np.ndarray, begins: np.ndarray, length: int) -> np.ndarray:
-    blocks = [window_hashes(_rows(raw, begins[a : a + 65_536], length)) for a in range(0, len(begins), 65_536)]
-    return np.concatenate(blocks) >> np.uint64(16)
+def _entries(place: dict[str, np.ndarray], gone: np.ndarray, left: dict[int, bytes]) -> pa.Table:
+    at = np.concatenate([np.flatnonzero(gone), np.fromiter(left, dtype=np.int64, count=len(left))]).astype(np.int64)
+    kinds = {"doc": pa.int64(), "tag": pa.int64(), "lo": pa.int64(), "n": pa.int32()}
+    columns = {c: pa.array(place[c][at].astype(np.int64)).cast(kind) for c, kind in kinds.items()}
+    return pa.table(columns | {"data": pa.array([None] * int(gone.sum()) + list(left.values()), pa.binary())})
 
 
-def _run_hashes(n_ranges: int, length: int):
-    """(run, range, blob) of the distinct sorted 48-bit hashes of a run's windows."""
+# --- the hash filter --------------------------------------------------------------------------
 
-    def run(segments_: pa.Table) -> pa.Table:
-        raw, begins, *_ = _windows(segments_, length)
-        hashes = np.unique(_hashed(raw, begins, length))
-        part = (hashes >> np.uint64(16)) * np.uint64(n_ranges) >> np.uint64(32)
-        cuts = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]])
-        return pa.table(
-            {
-                "run": pa.array(np.full(len(cuts) - 1, segments_.column("run")[0].as_py()), pa.int64()),
-                "range": pa.array(part[cuts[:-1]].astype(np.int64), pa.int64()),
-                "hashes": pa.array([squeeze(np.diff(hashes[a:b], prepend=np.uint64(0))) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
-            }
-        )
+HASHES = "run long, range long, hashes binary"
+BITS = "run long, range long, bits binary, n long"
 
-    return run
+
+def hash_blobs(run: int, hashes: np.ndarray, n_ranges: int) -> pa.Table:
+    """The distinct 48-bit hashes of a run, a blob for each range."""
+    hashes = np.unique(hashes)
+    part = range_of(hashes, n_ranges)
+    cuts = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]]) if len(part) else np.zeros(1, dtype=np.int64)
+    return pa.table(
+        {
+            "run": pa.array(np.full(len(cuts) - 1, run), pa.int64()),
+            "range": pa.array(part[cuts[:-1]] if len(part) else [], pa.int64()),
+            "hashes": pa.array([squeeze(np.diff(hashes[a:b], prepend=np.uint64(0))) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
+        }
+    )
 
 
-def _shared_hashes(blobs: pa.Table) -> pa.Table:
+def shared_hashes(blobs: pa.Table) -> pa.Table:
     """For each run and range, which of its hashes another run has too: a packed bit for each, in their order."""
     each = [np.cumsum(unsqueeze(x, "<u8"), dtype=np.uint64) for x in blobs.column("hashes").to_pylist()]
-    _, back, counts = np.unique(np.concatenate(each), return_inverse=True, return_counts=True)
-    more = np.split(counts[back] > 1, np.cumsum([len(x) for x in each])[:-1])
+    every = np.concatenate(each)
+    every.sort()
+    twice = np.unique(every[1:][every[1:] == every[:-1]])
+    more = [np.isin(x, twice, assume_unique=True) for x in each]
     return pa.table({"run": blobs.column("run"), "range": blobs.column("range"), "bits": pa.array([np.packbits(x).tobytes() for x in more], pa.binary()), "n": pa.array([len(x) for x in more], pa.int64())})
 
 
-RUN_COLUMNS = [("lcp", "<u1"), ("doc", "<i8"), ("tag", "<i8"), ("lo", "<i4")]
-RUN_SCHEMA = "range int, rest binary, " + ", ".join(f"{c} binary" for c, _ in RUN_COLUMNS)
+def wanted(hashes: np.ndarray, doc: np.ndarray, replies: pa.Table) -> np.ndarray:
+    """Which entries of a run have a hash that another run, or another document of this run, has too."""
+    order = np.argsort(hashes, kind="stable")
+    h, d = hashes[order], doc[order]
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = h[1:] != h[:-1]
+    start = np.flatnonzero(new)
+    replies = replies.sort_by("range")
+    bits = [np.unpackbits(np.frombuffer(x, dtype=np.uint8), count=n).astype(bool) for x, n in zip(replies.column("bits").to_pylist(), replies.column("n").to_pylist(), strict=True)]
+    more = np.concatenate(bits) | (np.minimum.reduceat(d, start) < np.maximum.reduceat(d, start))
+    out = np.zeros(len(h), dtype=bool)
+    out[order] = more[np.cumsum(new) - 1]
+    return out
 
 
-def _suffix_runs(length: int):
-    """The sorted, front-coded run of the suffixes that other runs may have, with range 0, and with -1 what the run decides."""
+# --- round 1: segments of texts ---------------------------------------------------------------
 
-    def run(segments_: pa.Table, replies: pa.Table) -> pa.Table:
-        raw, begins, doc, tag, lo = _windows(segments_, length)
-        hashes = _hashed(raw, begins, length)
-        order = np.lexsort((doc, hashes))
-        h, d = hashes[order], doc[order]
-        new = np.ones(len(order), dtype=bool)
-        new[1:] = h[1:] != h[:-1]
-        replies = replies.sort_by("range")
-        bits = [np.unpackbits(np.frombuffer(x, dtype=np.uint8), count=n).astype(bool) for x, n in zip(replies.column("bits").to_pylist(), replies.column("n").to_pylist(), strict=True)]
-        shared = np.concatenate(bits)[np.cumsum(new) - 1]
-        # what only this run has matters if more than one of its documents has it
-        first = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
-        group = np.cumsum(new) - 1
-        high = np.zeros(group[-1] + 1, dtype=np.int64)
-        np.maximum.at(high, group, d)
-        own = order[shared | (high[group] > d[first])]
-        out: list[tuple] = []
-
-        def add(r, at, rest, lcp):
-            out.append((r, rest, *(squeeze(c.astype(kind)) for c, (_, kind) in zip((lcp, doc[at], tag[at], lo[at]), RUN_COLUMNS, strict=True))))
-
-        if len(own):
-            rows = _rows(raw, begins[own], length)
-            keys = np.ascontiguousarray(rows).view(f"S{length}").ravel()
-            again = np.lexsort((doc[own], keys))
-            own, rows = own[again], rows[again]
-            new = np.ones(len(own), dtype=bool)
-            new[1:] = (rows[1:] != rows[:-1]).any(axis=1)
-            first = np.maximum.accumulate(np.where(new, np.arange(len(own)), 0))
-            beaten = doc[own] != doc[own][first]
-            if beaten.any():
-                add(-1, own[beaten], b"", np.zeros(int(beaten.sum())))
-            lcp, rest = front_code(rows[~beaten])
-            add(0, own[~beaten], zstandard.compress(rest, 1), lcp)
-        columns = list(zip(*out, strict=True)) or [[]] * 6
-        return pa.table({c: pa.array(x, pa.int32() if c == "range" else pa.binary()) for c, x in zip(["range", "rest", *(c for c, _ in RUN_COLUMNS)], columns, strict=True)})
+
+def _text_segments(blocks: pa.Table, length: int, k: int) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """(all bytes of a run's blocks, hash, anchor and window there, doc, tag, lo and n of their segments)."""
+    data = blocks.column("data").to_pylist()
+    doc, tag, pos = (blocks.column(c).to_numpy() for c in ("doc", "tag", "pos"))
+    sizes = np.fromiter(map(len, data), dtype=np.int64, count=len(data))
+    ends = np.cumsum(sizes)
+    every = b"".join(data)
+    found: list[tuple] = []
+    first = 0
+    while first < len(data):  # as many blocks as make up about BLOCK bytes
+        base = int(ends[first] - sizes[first])
+        last = max(int(np.searchsorted(ends, base + BLOCK, side="right")), first + 1)
+        own = ends[first:last] - base
+        h, anchor, lo, n = segments(every[base : base + int(own[-1])], own - sizes[first:last], own, length, k)
+        at = np.searchsorted(own, lo, side="right") + first
+        begin = (ends - sizes)[at] - base
+        found.append((h, anchor + base, lo + base, doc[at], tag[at], (lo - begin + pos[at]).astype(np.int32), n.astype(np.uint8)))
+        first = last
+    names = ["hash", "anchor", "window", "doc", "tag", "lo", "n"]
+    columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, dtype=np.int64)] * 7
+    return np.frombuffer(every, dtype=np.uint8), dict(zip(names, columns, strict=True))
+
+
+def _segment_hashes(n_ranges: int, length: int, k: int):
+    def run(blocks: pa.Table) -> pa.Table:
+        return hash_blobs(blocks.column("run")[0].as_py(), _text_segments(blocks, length, k)[1]["hash"].astype(np.uint64), n_ranges)
 
     return run
 
 
-def decode_rows(lcp: np.ndarray, rest: bytes, length: int) -> np.ndarray:
-    """The byte matrix of a front-coded run, column by column."""
-    raw = np.frombuffer(rest, dtype=np.uint8)
-    begins = np.cumsum(length - lcp) - (length - lcp)
-    out = np.empty((len(lcp), length), dtype=np.uint8)
-    index = np.arange(len(lcp))
-    for j in range(length):
-        source = np.maximum.accumulate(np.where(lcp <= j, index, 0))  # the last row that spells out this byte
-        out[:, j] = raw[begins[source] + j - lcp[source]]
-    return out
+def _segment_run(n_ranges: int, length: int, k: int):
+    def run(blocks: pa.Table, replies: pa.Table) -> pa.Table:
+        if not replies.num_rows:
+            return _pieces([])
+        raw, found = _text_segments(blocks, length, k)
+        take = wanted(found["hash"], found["doc"], replies)
+        if not take.any():
+            return _pieces([])
+        found = {c: x[take] for c, x in found.items()}
+        rows, sizes = segment_keys(raw, found["anchor"], found["window"], found["n"].astype(np.int64), length, k)
+        return sorted_run(blocks.column("run")[0].as_py(), rows, sizes, {c: found[c] for c in ("doc", "tag", "lo", "n")}, found["hash"], n_ranges, k)
 
+    return run
 
-def _suffix_sample(length: int):
-    """Evenly spaced suffixes of each run, to cut ranges."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            picked = []
-            for r, rest, lcp in zip(*(batch.column(c).to_pylist() for c in ("range", "rest", "lcp")), strict=True):
-                if r >= 0:
-                    rows = decode_rows(unsqueeze(lcp, "<u1").astype(np.int64), zstandard.decompress(rest), length)
-                    at = np.linspace(0, len(rows) - 1, 2 + SAMPLE * len(rows) // RANGE_SUFFIXES).astype(int)
-                    picked += [rows[k].tobytes() for k in at]
-            yield pa.RecordBatch.from_arrays([pa.array(picked, pa.binary())], names=["suffix"])
+# --- round 2: all suffixes of the segments that are left --------------------------------------
 
-    return run
 
+def _windows(segments_: pa.Table, length: int) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """(byte matrix of the windows of a run's segments, their doc, tag, lo and n)."""
+    data = segments_.column("data").to_pylist()
+    sizes = np.fromiter(map(len, data), dtype=np.int64, count=len(data))
+    n = sizes - length + 1
+    within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    rows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(b"".join(data), dtype=np.uint8), length)
+    doc, tag, lo = (np.repeat(segments_.column(c).to_numpy().astype(np.int64), n) for c in ("doc", "tag", "lo"))
+    begin = np.repeat(np.cumsum(sizes) - sizes, n) + within
+    return rows[begin], {"doc": doc, "tag": tag, "lo": (lo + within).astype(np.int32), "n": np.ones(len(lo), dtype=np.uint8)}
 
-def _cut_runs(splitters: list[bytes], length: int):
-    """Runs cut at the splitters: each part begins with a row in full."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cuts_at = np.array(splitters, dtype=f"S{length}")
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ["range", "rest", *(c for c, _ in RUN_COLUMNS)]), strict=True):
-                if row[0] < 0 or not len(cuts_at):
-                    out = [row]
-                else:
-                    lcp = unsqueeze(row[2], "<u1").astype(np.int64)
-                    rows = decode_rows(lcp, zstandard.decompress(row[1]), length)
-                    others = [unsqueeze(x, kind) for x, (_, kind) in zip(row[3:], RUN_COLUMNS[1:], strict=True)]
-                    edges = np.unique([0, *np.searchsorted(rows.view(f"S{length}").ravel(), cuts_at, side="left"), len(rows)])
-                    out = []
-                    for a, b in zip(edges[:-1], edges[1:], strict=True):
-                        own, rest = front_code(rows[a:b])
-                        part = int(np.searchsorted(cuts_at, rows[a : a + 1].view(f"S{length}").ravel()[0], side="right"))
-                        out.append((part, zstandard.compress(rest, 1), squeeze(own.astype("<u1")), *(squeeze(x[a:b]) for x in others)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, pa.int32() if k == 0 else pa.binary()) for k, c in enumerate(zip(*out, strict=True))], names=["range", "rest", *(c for c, _ in RUN_COLUMNS)]
-                )
+def _window_hashes(n_ranges: int, length: int):
+    def run(segments_: pa.Table) -> pa.Table:
+        return hash_blobs(segments_.column("run")[0].as_py(), mixed(_windows(segments_, length)[0]), n_ranges)
 
     return run
 
 
-def _merge_range(length: int):
-    def run(runs: pa.Table) -> pa.Table:
-        blocks = [{c: unsqueeze(x, kind) for (c, kind), x in zip(RUN_COLUMNS, row, strict=True)} for row in zip(*(runs.column(c).to_pylist() for c, _ in RUN_COLUMNS), strict=True)]
-        if runs.column("range")[0].as_py() < 0:
-            gone = {c: np.concatenate([b[c] for b in blocks]) for c in ("doc", "tag", "lo")}
-        else:
-            rests = [zstandard.decompress(x) for x in runs.column("rest").to_pylist()]
-            merged = merge_runs([decode_run(b["lcp"].tolist(), rest, length) for b, rest in zip(blocks, rests, strict=True)])
-            run_of, prefix = [], []
-            for r, p in merged:
-                run_of.append(r)
-                prefix.append(p)
-            at = np.array(run_of)
-            within = np.zeros(len(at), dtype=np.int64)
-            for r in range(len(blocks)):
-                within[at == r] = np.arange(np.count_nonzero(at == r))
-            start = np.cumsum([0, *(len(b["doc"]) for b in blocks)])[:-1]
-            place = start[at] + within
-            every = {c: np.concatenate([b[c] for b in blocks])[place] for c in ("doc", "tag", "lo")}
-            group = np.cumsum(np.array(prefix) < length) - 1
-            low = np.full(group[-1] + 1, np.iinfo(np.int64).max)
-            np.minimum.at(low, group, every["doc"])
-            take = every["doc"] > low[group]
-            every = {c: v[take] for c, v in every.items()}
-            gone = every
-        return _entries(gone | {"n": np.ones(len(gone["doc"]), dtype=np.int64)}, np.ones(len(gone["doc"]), dtype=bool))
+def _window_run(n_ranges: int, length: int):
+    def run(segments_: pa.Table, replies: pa.Table) -> pa.Table:
+        rows, places = _windows(segments_, length)
+        hashes = mixed(rows)
+        take = wanted(hashes, places["doc"], replies)
+        if not take.any():
+            return _pieces([])
+        rows = rows[take]
+        return sorted_run(segments_.column("run")[0].as_py(), rows, np.full(len(rows), length, dtype=np.uint8), {c: x[take] for c, x in places.items()}, hashes[take], n_ranges, length)
 
     return run
 
@@ -542,11 +506,20 @@ def _merge_range(length: int):
 # --- the operator -----------------------------------------------------------------------------
 
 
+def _round(dealt: DataFrame, hashes, run, n_ranges: int, k: int) -> DataFrame:
+    """One round of the merge sort over ``dealt``, which has a column ``run``."""
+    blobs = dealt.groupBy("run").applyInArrow(hashes, HASHES)
+    replies = blobs.groupBy("range").applyInArrow(shared_hashes, BITS)
+    pieces = dealt.groupBy("run").cogroup(replies.groupBy("run")).applyInArrow(run, PIECE)
+    group = F.when(F.col("range") < 0, -1 - F.col("run")).otherwise(F.col("range")).alias("group")
+    return pieces.select("*", group).groupBy("group").applyInArrow(merge_range(k), ENTRY)
+
+
 def _apply(length: int, with_text: bool):
     """The statistics of each text without its removed bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
+        for batch in sliced(batches, 128):
             out = []
             for text, los, ns in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True):
                 raw = (text or "").encode()
@@ -575,6 +548,10 @@ def _apply(length: int, with_text: bool):
     return run
 
 
+def _total(df: DataFrame, what: Column) -> int:
+    return df.agg(F.sum(what)).first()[0] or 0
+
+
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, with_text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) of every row.
 
@@ -583,48 +560,39 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     n_spans counts the maximal removed runs; kept has the bytes that remain.
 
     Ids are integers.  A null text is empty; texts shorter than ``length`` stay
-    whole.  Rows of one id never take from one another, however many there are;
-    rows that repeat are judged alike, each with its result.  A row without an id
-    comes after all others: it loses what they have, and they lose nothing to it.
-    An empty table gives no rows.  Other columns are not looked at.
+    whole; long ones are dealt to several runs.  Rows of one id never take from one
+    another, however many there are; rows that repeat are judged alike, each with
+    its result.  A row without an id comes after all others: it loses what they
+    have, and they lose nothing to it.  An empty table gives no rows.  Other
+    columns are not looked at.
     """
-    last = 2**63 - 1
+    if not KMER <= length < IS_HOT:
+        raise ValueError(f"length must be from {KMER} to {IS_HOT - 1}")
     ids = docs.groupBy(F.col(f"`{doc_id}`").alias("id")).count()
     repeat = bool(ids.where("count > 1").limit(1).count())  # then the hash of a row's text tells it from others of its id
     rows = docs.select(
         F.col(f"`{doc_id}`").alias("id"),
-        F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(last)).alias("doc"),
+        F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(2**63 - 1)).alias("doc"),
         (F.xxhash64(f"`{text}`") if repeat else F.lit(0)).cast("long").alias("tag"),
         F.col(f"`{text}`").alias("text"),
     )
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_ranges = max(1, -(-size // RANGE_BYTES))
-    runs = rows.select("doc", "tag", "text").mapInArrow(
-        _segment_runs(n_ranges, length, KMER), "range int, " + ", ".join(f"{c} binary" for c, _ in COLUMNS)
+    texts = rows.select("doc", "tag", F.col("text").cast("binary").alias("raw")).where(F.octet_length("raw") >= length)
+    texts = texts.dropDuplicates(["doc", "tag"]) if repeat else texts
+    size = _total(texts, F.octet_length("raw"))
+    n_runs, n_ranges = max(1, -(-size // RUN_BYTES)), max(1, -(-size // RANGE_BYTES))
+    blocks = texts.select("doc", "tag", "raw", F.explode(F.sequence(F.lit(0), F.octet_length("raw") - length, F.lit(BLOCK))).alias("pos"))
+    dealt = blocks.select(
+        F.pmod(F.xxhash64("doc", "tag", "pos"), F.lit(n_runs)).alias("run"), "doc", "tag", "pos", F.expr(f"substring(raw, pos + 1, {BLOCK + length - 1})").alias("data")
     )
-    spread = F.when(F.col("range") < 0, -1 - F.monotonically_increasing_id()).otherwise(F.col("range").cast("long")).alias("group")
-    first = shared_table(runs.select("*", spread).groupBy("group").applyInArrow(_decide_range, ENTRY))
-    listed = lambda df: df.groupBy("doc", "tag").agg(F.collect_list(F.struct("lo", "n")).alias("at")).select("doc", "tag", F.col("at.lo").alias("los"), F.col("at.n").alias("ns"))
-    open_ = first.where(~F.col("decided"))
-    gone = first.where("decided").drop("decided")
-    n_open = open_.agg(F.sum("n")).first()[0] or 0
+    first = shared_table(_round(dealt, _segment_hashes(n_ranges, length, KMER), _segment_run(n_ranges, length, KMER), n_ranges, KMER))
+    gone, left = (first.where(F.col("data").isNull() == is_gone).select("doc", "tag", "lo", x) for is_gone, x in ((True, "n"), (False, "data")))
+    n_open = _total(left, F.octet_length("data") - (length - 1))
     if n_open:
-        joined = rows.select("doc", "tag", "text").where(F.octet_length("text") >= length).join(listed(open_), ["doc", "tag"]).select("doc", "tag", "text", "los", "ns")
-        n_runs, n_suffix_ranges = -(-n_open // SUFFIX_RUN), -(-n_open // RANGE_SUFFIXES)
-        run_of = F.pmod(F.xxhash64("doc", "tag", F.floor(F.col("lo") / BLOCK)), F.lit(n_runs)).alias("run")
-        strings = shared_table(joined.mapInArrow(_segment_bytes(length), "doc long, tag long, lo long, data binary").select("*", run_of))
-        hashes = strings.groupBy("run").applyInArrow(_run_hashes(n_suffix_ranges, length), "run long, range long, hashes binary")
-        shared = hashes.groupBy("range").applyInArrow(_shared_hashes, "run long, range long, bits binary, n long")
-        blocks = shared_table(strings.groupBy("run").cogroup(shared.groupBy("run")).applyInArrow(_suffix_runs(length), RUN_SCHEMA))
-        splitters: list[bytes] = []
-        if n_suffix_ranges > 1:
-            sample = blocks.mapInArrow(_suffix_sample(length), "suffix binary")  # some for each range
-            ranked = sorted(bytes(r.suffix) for r in sample.toLocalIterator())
-            splitters = sorted({ranked[len(ranked) * i // n_suffix_ranges] for i in range(1, n_suffix_ranges)}) if ranked else []
-        parts = blocks.mapInArrow(_cut_runs(splitters, length), RUN_SCHEMA)
-        merged = parts.select("*", spread).groupBy("group").applyInArrow(_merge_range(length), ENTRY)
-        gone = gone.unionByName(merged.drop("decided"))
-    judged = rows.join(listed(gone), ["doc", "tag"], "left").select("id", "text", "los", "ns")
+        n_runs, n_ranges = -(-n_open // SUFFIX_RUN), -(-n_open // RANGE_SUFFIXES)
+        dealt = left.select(F.pmod(F.xxhash64("doc", "tag", F.floor(F.col("lo") / BLOCK)), F.lit(n_runs)).alias("run"), "doc", "tag", "lo", "data")
+        gone = gone.unionByName(_round(dealt, _window_hashes(n_ranges, length), _window_run(n_ranges, length), n_ranges, length).drop("data"))
+    listed = gone.groupBy("doc", "tag").agg(F.collect_list(F.struct("lo", "n")).alias("at")).select("doc", "tag", F.col("at.lo").alias("los"), F.col("at.n").alias("ns"))
+    judged = rows.join(listed, ["doc", "tag"], "left").select("id", "text", "los", "ns")
     kind = docs.schema[doc_id].dataType.simpleString()
     return judged.mapInArrow(
         _apply(length, with_text), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
