@@ -1,12 +1,13 @@
 """Harmonic packing of tokenised documents into sequences of one capacity.
 
-A piece of class k has just floor(capacity / k) tokens, and a sequence of class k
-holds just k pieces: no sequence needs to know another.  A document is cut into
-pieces of class 1 and a rest, the rest into the largest piece of a class that
-fits and a new rest, and so on; a rest of r tokens loses more than half of them
-in each step.  A piece's sequence follows from its number within its class, and
-each task numbers its own pieces; only the counts by task and class, and in the
-end the pieces of the last, unfilled sequence of each class, meet.
+A piece of n tokens is of class k = floor(capacity / n), and a sequence of class k
+holds just k pieces: no sequence needs to know another.  A document gives whole
+sequences of class 1 and a rest.  A rest that nearly fills its class's share of a
+sequence stays whole, and a short one too; of any other a piece is cut that fills the
+share of a higher class to the last token, and what remains is a rest again.  A
+piece's sequence follows from its number within its class, and each task numbers its
+own pieces; only the counts by task and class, and in the end the pieces of the last,
+unfilled sequence of each class, meet.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from lodestar.llm.common import checkpointed, sliced, worker_state
 
 CAPACITY = 2048
 END_ID = 1
+#: A rest stays whole if it leaves no more than this part of its share empty, or has fewer tokens than SHORT; no cut of a rest leaves fewer than LEAST tokens.
+SLACK, SHORT, LEAST = 1 / 16, 128, 16
 TOKENIZER = "byte_bpe_50k.json"
 #: Words whose ids a Python worker keeps at most (about 200 bytes each).
 MAX_CACHED_WORDS = 250_000
@@ -43,7 +46,8 @@ class WordEncoder:
     The tokenizer splits a text into words before it merges, and a word begins
     at every single space between two characters that are not white space.  So
     a text may be cut there, and each part encoded once and kept.  Texts with
-    other white space around a space are encoded whole.
+    other white space around a space, or with a special token's string, are
+    encoded whole.
     """
 
     def __init__(self, path: str, max_words: int = MAX_CACHED_WORDS):
@@ -51,7 +55,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.special = [str(x) for x in self.tokenizer.get_added_tokens_decoder().values()]  # such strings in a text are one id
         self.max_words = max_words
         self.words: dict[str, bytes] = {"": b""}
         space = self.tokenizer.encode(" ", add_special_tokens=False).tokens[0]
@@ -65,9 +69,10 @@ class WordEncoder:
 
     def encode_words(self, words: list[str]) -> list[bytes]:
         """Ids of words with a space before each: of all as one text, cut at the ids that begin with a space."""
-        ids = np.array(self.tokenizer.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+        joined = "".join(words)
+        ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
         cuts = np.flatnonzero(self.begins[ids])
-        if len(cuts) != len(words):
+        if len(cuts) != len(words) or any(x in joined for x in self.special):
             return self.encode_all(words)
         data, ends = ids.tobytes(), [*(4 * cuts[1:]).tolist(), 4 * len(ids)]
         return [data[a:b] for a, b in zip((4 * cuts).tolist(), ends, strict=True)]
@@ -75,7 +80,7 @@ class WordEncoder:
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; unknown words of all of them are encoded together."""
         known = self.words
-        cut = [[t] if "\0" in t else t.replace(" ", "\0 ").split("\0") for t in texts]
+        cut = [[t] if "\0" in t or any(x in t for x in self.special) else t.replace(" ", "\0 ").split("\0") for t in texts]
         found = [[known.get(p) for p in parts] for parts in cut]
         missing = Counter(p for parts, ids in zip(cut, found, strict=True) if None in ids for p, i in zip(parts, ids, strict=True) if i is None)
         # a word is one space and no other white space at either end; or it is the first of its text
@@ -112,9 +117,15 @@ def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int, int]]:
     out = [(k * capacity, capacity, 1) for k in range(n // capacity)]
     start = n - n % capacity
     while start < n:
-        k = -(-capacity // (n - start))
-        out.append((start, capacity // k, k))
-        start += capacity // k
+        rest = n - start
+        k = capacity // rest
+        if rest >= SHORT and capacity // k - rest > SLACK * (capacity // k):
+            k += 1
+            while capacity // k > rest - LEAST:
+                k += 1
+            rest = capacity // k
+        out.append((start, rest, capacity // rest))
+        start += rest
     return out
 
 
@@ -155,7 +166,11 @@ def _pieces(path: str, capacity: int):
 
 
 def _fill_rest(capacity: int):
-    """First fit, longest first, over the pieces of the last sequences: fewer than the sum of all classes."""
+    """First fit, longest first, over the pieces of the last sequences.
+
+    They are fewer than the sum of all classes, floor(capacity / n) for any n: some
+    10,000 at a capacity of 2,048, however many documents there are.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = list(batches)
@@ -194,8 +209,10 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str
 
     A document is the tokenizer's ids and the end id, so a null or empty text is
     one piece of one token.  Long texts give many sequences of their own.  Rows
-    that repeat, or share an id, or have none, are packed each by itself.  An
-    empty table gives no rows.  Other columns are not looked at.
+    that repeat, or share an id, or have none, are packed each by itself; equal
+    lengths go in the order of their tasks.  An empty table gives no rows.  Other
+    columns are not looked at.  A special token's string in a text is that token,
+    as the tokenizer has it by default.
     """
     path = path or tokenizer_path()
     kind = docs.schema[doc_id].dataType.simpleString()
@@ -222,11 +239,10 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str
         .join(F.broadcast(by_class), "class")
         .withColumn("number", F.col("number") + F.col("before"))
     )
-    whole = numbered.where("number < full").select(
-        *OUTPUT[:5],
-        (F.col("first") + F.floor(F.col("number") / F.col("class"))).alias("sequence_id"),
-        (F.col("number") % F.col("class") * F.col("length")).alias("offset"),
-    )
+    placed = numbered.where("number < full").withColumn("sequence_id", F.col("first") + F.floor(F.col("number") / F.col("class")))
+    # a sequence is of one class, so of capacity pieces at most
+    ahead = Window.partitionBy("sequence_id").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
+    whole = placed.select(*OUTPUT[:5], "sequence_id", F.coalesce(F.sum("length").over(ahead), F.lit(0)).alias("offset"))
     rest = numbered.where("number >= full").select(*OUTPUT[:5], "class", "number", F.lit(base).cast("long").alias("base"))
     rest = rest.repartition(1).mapInArrow(
         _fill_rest(capacity),
