@@ -23,14 +23,16 @@ from pyspark.sql import functions as F
 from lodestar.llm.common import checkpointed, shared_table, sliced
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: A match begins where its run of digits begins, as a greedy one before it ends where a run ends; so runs are read once.
+IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 KINDS = ["email", "ip", "card", "phone"]
 #: Names of the spans that the method adds, by the kind that their contexts speak for.
 FOUND = {k: f"context_{k}" for k in KINDS}
 
-CANDIDATE = re.compile(r"(?<![^\s(\[\"'<])[A-Za-z0-9+][A-Za-z0-9@._+/-]{4,62}[A-Za-z0-9]")
+#: An identifier has 6 to 64 characters; longer strings are none.
+CANDIDATE = re.compile(r"(?<![^\s(\[\"'<])[A-Za-z0-9+][A-Za-z0-9@._+/-]{4,62}[A-Za-z0-9](?![A-Za-z0-9@_+/-])")
 #: Rounds of scoring; distinct seeds that a pattern needs; scores that a pattern and an instance need to be used.
 ROUNDS, MIN_SEEDS, MIN_PATTERN, MIN_INSTANCE = 3, 5, 0.8, 0.9
 #: Digits that a candidate needs: fewer are dates, counts and versions.
@@ -74,7 +76,7 @@ def _run_start(text: str, low: int, at: int) -> int:
 def known_spans(text: str) -> list[tuple[int, str, int]]:
     """(start, kind, end) of the known formats, in order of start and then kind."""
     found = [(a, 0, b) for a, b in emails(text)] if "@" in text else []
-    found += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+    found += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(len(own := p.lstrip("0")) <= 3 and int(own or "0") <= 255 for p in m[0].split("."))]
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 14 and 14 <= len(d := digits_of(m[0])) <= 19 and luhn(d):
             found.append((m.start(), 2, m.end()))
