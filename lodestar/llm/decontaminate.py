@@ -11,17 +11,20 @@ bit-parallel distance.  Pieces that are frequent fail at the first.
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import sliced
+from lodestar.llm.common import sliced, worker_state
 
 #: Edits allowed, as a share of the item's normalised length.
 ERROR_RATE = 0.1
+#: Normalised characters that an item needs: shorter ones are words of any text, and are left out (``left_out`` lists them).
+MIN_CHARS = 20
 #: Characters of benchmark text that go to every task at once; more items are matched in blocks, one pass for each.
 MAX_BLOCK_CHARS = 4_000_000
 
@@ -109,7 +112,7 @@ class Matcher:
         places: dict[str, list[tuple[int, int, list[tuple[int, str, int]]]]] = defaultdict(list)
         for item_id, text in items:
             item = normalise(text)
-            if item:
+            if len(item) >= MIN_CHARS:
                 errors = error_budget(len(item), rate)
                 pieces = cut_item(item, errors)
                 ends = [*(a for a, _ in pieces), len(item)]
@@ -173,6 +176,29 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str, max_chars: int) -> It
         yield block
 
 
+def left_out(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
+    """(item_id, text) of the items that are too short to be looked for, null and empty ones among them."""
+    own = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    size = F.length(F.trim(F.regexp_replace(own, r"[\x20\x09-\x0D]+", " ")))
+    return benchmark.where(size < MIN_CHARS).select(F.col(f"`{item_id}`").alias("item_id"), F.col(f"`{text}`").alias("text"))
+
+
+def _shipped(spark: SparkSession, block: list[tuple], rate: float):
+    """A function that gives a task the block's matcher.
+
+    The block is broadcast; each Python worker builds the matcher once, and keeps one at a time.
+    """
+    sent, name = spark.sparkContext.broadcast(block), uuid.uuid4().hex
+
+    def matcher() -> Matcher:
+        state = worker_state("decontaminate")
+        if state.get("name") != name:
+            state.update(name=name, matcher=Matcher(sent.value, rate))
+        return state["matcher"]
+
+    return matcher
+
+
 def matches(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -185,18 +211,23 @@ def matches(
 ) -> DataFrame:
     """(doc_id, item_id, distance): every document and every item that a part of it is within the budget of.
 
-    Null and empty texts match nothing, and so do null and empty items.  Rows of
-    documents that repeat give a row each; items that repeat count once.  Null ids
-    are carried along.  Empty tables give no rows.  Other columns are not looked at.
+    Null and empty texts match nothing, and neither do items of fewer than MIN_CHARS
+    characters (``left_out``).  Very long texts are searched whole.  Rows of documents
+    that repeat give a row each; items that repeat count once, and items of one text
+    under several ids are found each.  Null ids are carried along.  Empty tables give
+    no rows.  Other columns are not looked at.
+
+    Each block of the benchmark is one pass over the documents, and goes to the tasks
+    by a broadcast of at most ``max_block_chars`` characters.
     """
     kinds = docs.schema[doc_id].dataType.simpleString(), benchmark.schema[item_id].dataType.simpleString()
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, distance int"
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     item_type = pa.int64() if kinds[1] in ("bigint", "int", "smallint", "tinyint") else pa.string()
 
-    def finder(block: list[tuple]):
+    def finder(shipped):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(block, error_rate)
+            matcher = shipped()
             for batch in sliced(batches):
                 at, items, distances = [], [], []
                 for i, t in enumerate(batch.column(1).to_pylist()):
@@ -213,7 +244,7 @@ def matches(
 
     out = None
     for block in _blocks(benchmark, item_id, item_text, max_block_chars):
-        part = rows.mapInArrow(finder(block), schema)
+        part = rows.mapInArrow(finder(_shipped(docs.sparkSession, block, error_rate)), schema)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
@@ -229,17 +260,20 @@ def remove_contaminated(
 ) -> DataFrame:
     """The rows of docs, all columns, that have no part within the budget of an item.
 
-    A filter in each task: nothing is shuffled.  Null and empty texts stay.
+    A filter in each task: nothing is shuffled.  Null and empty texts stay, rows that
+    repeat go or stay alike, whatever their ids, and very long texts are searched
+    whole.  Items of fewer than MIN_CHARS characters take nothing away.  An empty
+    table gives no rows, an empty benchmark all rows; columns of any name are kept.
     """
 
-    def keeper(block: list[tuple], at: int):
+    def keeper(shipped, at: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(block, error_rate)
+            matcher = shipped()
             for batch in sliced(batches):
                 yield batch.filter(pa.array([not matcher(t) for t in batch.column(at).to_pylist()], pa.bool_()))
 
         return run
 
     for block in _blocks(benchmark, item_id, item_text, max_block_chars):
-        docs = docs.mapInArrow(keeper(block, docs.columns.index(text)), docs.schema)
+        docs = docs.mapInArrow(keeper(_shipped(docs.sparkSession, block, error_rate), docs.columns.index(text)), docs.schema)
     return docs
