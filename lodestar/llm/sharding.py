@@ -68,12 +68,16 @@ def assign_shards(
 
     Equal keys share a shard, and rows that repeat stay.  A null key is a key
     like any other: it hashes to a slot of its own.  Existing columns of the
-    names ``slot_col`` and ``shard_col`` are replaced.  An empty frame gives an
+    names ``slot_col`` and ``shard_col`` are replaced, the key too if it has such a
+    name: it is hashed first.  Very long keys are hashed whole.  An empty frame gives an
     empty frame.  To spread one hot key, pass a key that tells its rows apart.
     """
     owner = fill_table(shards, size, weights)
-    table = df.sparkSession.createDataFrame(
-        [(i, shards[k]) for i, k in enumerate(owner.tolist())], f"`__lodestar_slot` int, `{shard_col}` string"
-    )
-    placed = df.drop(slot_col, shard_col).withColumn(slot_col, slot_of(F.col(f"`{key}`"), size))
-    return placed.join(F.broadcast(table), placed[slot_col] == table["__lodestar_slot"]).drop("__lodestar_slot")
+    taken = {c.lower() for c in df.columns}
+    at = next(c for k in range(len(taken) + 1) if (c := f"slot_{k}").lower() not in taken)
+    table = df.sparkSession.createDataFrame([(i, shards[k]) for i, k in enumerate(owner.tolist())], f"`{at}` int, `{shard_col}` string")
+    others = [F.col(f"`{c}`") for c in df.columns if c.lower() not in (slot_col.lower(), shard_col.lower())]
+    placed = df.select(*others, slot_of(F.col(f"`{key}`"), size).alias(at))
+    names = [c for c in placed.columns if c != at]
+    joined = placed.join(F.broadcast(table), at)
+    return joined.select(*[F.col(f"`{c}`") for c in names], F.col(at).alias(slot_col), F.col(f"`{shard_col}`"))
