@@ -6,12 +6,13 @@ import json
 import os
 import time
 
-from lodestar.plans import registry, relational, spatial, timeseries  # noqa: F401
+from lodestar.plans import registry, relational, shapes, spatial, storage, timeseries  # noqa: F401
 from lodestar.session import get_session
 
 HEADLINE = [
     "count_scan", "count_where", "filter_between_in", "agg_all", "group_sorted", "group_having", "order_limit", "index_view", "window_1h", "window_5m",
     "tick_cube_1h", "tick_cube_1d", "range_intersect", "vector_topk", "overlap_join", "geo_within_join",
+    "geo_distance", "geo_intersect", "geo_overlay", "geo_hulls",
 ]
 
 

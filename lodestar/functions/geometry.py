@@ -748,6 +748,12 @@ def isonright(g, h) -> Column:
 # --- parts ------------------------------------------------------------------------------------
 
 
+def part(g, name: str) -> Column:
+    """A named part of a shape: x, y or z of its first vertex, or a size by its place, a, b or c."""
+    g = col(g)
+    return center(g)[name] if name in "xyz" else F.try_element_at(g["params"], F.lit(1 + "abc".index(name)))
+
+
 def dimension(g) -> Column:
     return col(g)["dim"]
 
@@ -949,8 +955,11 @@ def scalesize(g, fx, fy=None, fz=None) -> Column:
     return _moved(g, lambda p: p, F.transform(col(g)["params"], lambda s, i: s * F.get(factors, i)))
 
 
-def transscale(g, dx, dy, fx, fy=None) -> Column:
-    return scale(translate(g, dx, dy), fx, fy)
+def transscale(g, dx, dy, *rest) -> Column:
+    """Moved, then scaled: dx, dy, f; dx, dy, fx, fy; or dx, dy, dz, fx, fy, fz."""
+    if len(rest) == 4:
+        return scale(translate(g, dx, dy, rest[0]), *rest[1:])
+    return scale(translate(g, dx, dy), *rest)
 
 
 def rotateat(g, amount, unit: str, x, y) -> Column:
@@ -1087,6 +1096,34 @@ def knn(g, p: Column, k: int, low: float = -1.0, high: float = float("inf")) ->
     return _like(g, "multipoint", F.array(F.array(F.transform(F.slice(near, 1, k), lambda s: s["q"]))))
 
 
+# --- hulls ------------------------------------------------------------------------------------
+
+
+def _half_hull(points: Column) -> Column:
+    """One side of the hull of sorted points: each point in turn takes the place of those behind which it bends to the right."""
+    xy = "struct<x:double,y:double>"
+
+    def keep(stack: Column, p: Column) -> Column:
+        places = F.sequence(F.lit(1), F.size(stack))
+        bends = lambda i: (i == 1) | (cross(F.get(stack, i - 2), F.get(stack, i - 1), p) > 0)
+        return F.when(F.size(stack) == 0, 0).otherwise(F.array_max(F.filter(places, bends)))
+
+    return F.aggregate(points, F.array().cast(f"array<{xy}>"), lambda stack, p: F.concat(F.slice(stack, 1, keep(stack, p)), F.array(p)))
+
+
+@on_geometry
+def convexhull(g) -> Column:
+    """The convex hull of the vertices in the plane, counter-clockwise, as a polygon (monotone chain)."""
+    points = F.array_sort(F.array_distinct(F.transform(vertices(topolygon(g)), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))))
+
+    def ring(pts: Column) -> Column:
+        lower, upper = _half_hull(pts), _half_hull(F.reverse(pts))
+        return F.concat(F.slice(lower, 1, F.greatest(F.size(lower) - 1, F.lit(0))), upper)
+
+    flat = let(points, lambda pts: F.transform(ring(pts), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), F.lit(None).cast("double").alias("z"))))
+    return _like(g, "polygon", F.array(F.array(flat)))
+
+
 # --- text -------------------------------------------------------------------------------------
 
 
@@ -1098,11 +1135,15 @@ def _coordinates(p: Column, sep: str) -> Column:
 
 @on_geometry
 def geojson(g, most: int = 3000, samples: int = SIDES) -> Column:
-    """GeoJSON text; shapes with a center as polygons of so many samples, lines and point sets cut after so many points."""
+    """GeoJSON text; shapes with a center as polygons of so many samples, lines and point sets cut after so many points.
+
+    A closed ring that is cut is closed again.
+    """
     g = topolygon(g, samples)
     pt = lambda p: F.concat(F.lit("["), _coordinates(p, ","), F.lit("]"))
     seq = lambda xs: F.concat(F.lit("["), F.array_join(xs, ","), F.lit("]"))
-    ring = lambda r: seq(F.transform(F.slice(r, 1, most), pt))
+    shut = lambda r: (F.size(r) > most) & (F.element_at(r, 1) == F.element_at(r, -1))
+    ring = lambda r: seq(F.transform(F.when(shut(r), F.concat(F.slice(r, 1, most - 1), F.slice(r, 1, 1))).otherwise(F.slice(r, 1, most)), pt))
     rings = lambda rs: seq(F.transform(rs, ring))
     names = {"point": "Point", "line": "LineString", "linestring": "LineString", "multipoint": "MultiPoint", "multilinestring": "MultiLineString", "polygon": "Polygon", "triangle": "Polygon", "multipolygon": "MultiPolygon"}
     body = _case(g, {
@@ -1113,7 +1154,12 @@ def geojson(g, most: int = 3000, samples: int = SIDES) -> Column:
     return F.concat(F.lit('{"type":"'), name, F.lit('","coordinates":'), body, F.lit("}"))
 
 
-all_points = geojson
+def all_points(g) -> Column:
+    """Aggregate: the vertices of all rows' geometries as one multipoint, in the order of their coordinates."""
+    pts = F.array_sort(F.flatten(F.collect_list(vertices(col(g)))))
+    return F.struct(
+        F.lit("multipoint").alias("gtype"), F.max(col(g)["srid"]).alias("srid"), F.max(col(g)["dim"]).alias("dim"), F.array(F.array(pts)).alias("parts"),
+        F.array().cast("array<double>").alias("params"), F.array().cast("array<string>").alias("metrics")).cast(GEOMETRY)
 
 
 @on_geometry

@@ -1,24 +1,59 @@
-"""Constructions on one geometry that need a loop, as Arrow-batched pandas UDFs over vertices.
+"""Constructions on geometries that need a loop over their vertices.
 
-Each takes and returns geometries as in lodestar.functions.geometry.  Coordinates
-closer than 1e-9 are one; boolean operations suppose polygons whose edges don't
-lie on one another.
+Each function names its inputs and what is made of one geometry; ``with_shapes``
+adds the results to a DataFrame, over Arrow batches.  Geometries are as in
+lodestar.functions.geometry.  Coordinates closer than 1e-9 are one.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestar.functions import geometry as geo
 
 XY = tuple[float, float]
 
 
+@dataclass
+class Construction:
+    """Geometries to be made, one for each row, of the geometries of some columns; null if one of these is."""
+
+    inputs: list[Column]
+    make: Callable[..., dict | None]
+
+
+_POINT = pa.struct([(c, pa.float64()) for c in "xyz"])
+_SHAPE = pa.struct(
+    [("gtype", pa.string()), ("srid", pa.int32()), ("dim", pa.int32()), ("parts", pa.list_(pa.list_(pa.list_(_POINT)))), ("params", pa.list_(pa.float64())), ("metrics", pa.list_(pa.string()))]
+)
+
+
+def with_shapes(df: DataFrame, **made: Construction) -> DataFrame:
+    """df with a column for each construction.  A row needs no other row: nothing is shuffled."""
+    columns = df.columns
+    staged = df.select("*", *[c.alias(f"__{name}_{i}") for name, m in made.items() for i, c in enumerate(m.inputs)])
+    shape = T._parse_datatype_string(geo.GEOMETRY)
+    schema = T.StructType([*df.schema.fields, *(T.StructField(name, shape) for name in made)])
+    makers = {name: (len(m.inputs), m.make) for name, m in made.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = list(batch.columns[: len(columns)])
+            for name, (n, make) in makers.items():
+                given = [batch.column(f"__{name}_{i}").to_pylist() for i in range(n)]
+                out.append(pa.array([None if any(g is None for g in row) else make(*row) for row in zip(*given, strict=True)], _SHAPE))
+            yield pa.RecordBatch.from_arrays(out, names=[*columns, *makers])
+
+    return staged.mapInArrow(run, schema)
+
+
 def _turn(o: XY, a: XY, b: XY) -> float:
     return (a[0] - o[0]) * (b[1] - o[1]) - (a[1] - o[1]) * (b[0] - o[0])
 
@@ -68,30 +103,52 @@ def bounding_circle(points: list[XY]) -> tuple[float, float, float]:
     return c
 
 
-def delaunay(points: list[XY]) -> list[tuple[XY, XY, XY]]:
-    """Triangles, counter-clockwise, point by point (Bowyer and Watson)."""
-    pts = sorted(set(points))
+def snapped(points: list[XY], tolerance: float = 0.0) -> list[XY]:
+    """Distinct points, sorted; those that share a square as wide as the tolerance are the first of them."""
+    if tolerance <= 0:
+        return sorted(set(points))
+    first: dict[tuple[int, int], XY] = {}
+    for p in sorted(set(points)):
+        first.setdefault((math.floor(p[0] / tolerance), math.floor(p[1] / tolerance)), p)
+    return sorted(first.values())
+
+
+def delaunay(points: list[XY], tolerance: float = 0.0) -> list[tuple[XY, XY, XY]]:
+    """Triangles, counter-clockwise.
+
+    Points are added from left to right; a triangle whose circle lies to the left of
+    a point is done with, so each point looks at the few that are still open.
+    """
+    pts = snapped(points, tolerance)
     if len(pts) < 3:
         return []
-    span = max(max(p[0] for p in pts) - min(p[0] for p in pts), max(p[1] for p in pts) - min(p[1] for p in pts), 1.0) * 1e4
+    span = max(pts[-1][0] - pts[0][0], max(p[1] for p in pts) - min(p[1] for p in pts), 1e-9) * 1e3
     mx, my = pts[len(pts) // 2]
     outer = [(mx - 2 * span, my - span), (mx + 2 * span, my - span), (mx, my + 2 * span)]
 
-    def in_circle(t, p):
-        (ax, ay), (bx, by), (cx, cy) = ((v[0] - p[0], v[1] - p[1]) for v in t)
-        return (ax * ax + ay * ay) * (bx * cy - cx * by) - (bx * bx + by * by) * (ax * cy - cx * ay) + (cx * cx + cy * cy) * (ax * by - bx * ay) > 0
+    def round_(a: XY, b: XY, c: XY) -> tuple:
+        """(triangle, circle's center, its squared radius)"""
+        bx, by, cx, cy = b[0] - a[0], b[1] - a[1], c[0] - a[0], c[1] - a[1]
+        d = 2 * (bx * cy - by * cx)
+        ux, uy = (cy * (bx * bx + by * by) - by * (cx * cx + cy * cy)) / d, (bx * (cx * cx + cy * cy) - cx * (bx * bx + by * by)) / d
+        return (a, b, c), a[0] + ux, a[1] + uy, ux * ux + uy * uy
 
-    found = [tuple(outer)]
+    done, waiting = [], [round_(*outer)]
     for p in pts:
-        bad = [t for t in found if in_circle(t, p)]
-        rim: dict[frozenset, tuple] = {}
-        for t in bad:
-            for e in ((t[0], t[1]), (t[1], t[2]), (t[2], t[0])):
-                if rim.pop(frozenset(e), None) is None:
-                    rim[frozenset(e)] = e
-        gone = set(bad)
-        found = [t for t in found if t not in gone] + [(a, b, p) for a, b in rim.values() if _turn(a, b, p) > 0]
-    return [t for t in found if not set(t) & set(outer)]
+        still, rim = [], {}
+        for t in waiting:
+            (a, b, c), x, y, r = t
+            dx, dy = p[0] - x, p[1] - y
+            if dx > 0 and dx * dx > r:
+                done.append(t[0])
+            elif dx * dx + dy * dy >= r * (1 - 1e-12):
+                still.append(t)
+            else:
+                for e in ((a, b), (b, c), (c, a)):
+                    if rim.pop(e[::-1], None) is None:
+                        rim[e] = e
+        waiting = still + [round_(a, b, p) for a, b in rim if _turn(a, b, p) > 0]
+    return [t for t in done + [w[0] for w in waiting] if not set(t) & set(outer)]
 
 
 def cut_by_line(ring: list[XY], keep: Callable[[XY], float]) -> list[XY]:
@@ -107,24 +164,34 @@ def cut_by_line(ring: list[XY], keep: Callable[[XY], float]) -> list[XY]:
     return out
 
 
-def voronoi(points: list[XY], bounds: tuple[float, float, float, float] | None = None) -> list[list[XY]]:
-    """Closed cells of the points, within bounds (by default theirs, wider by a half)."""
-    pts = sorted(set(points))
+def voronoi(points: list[XY], bounds: tuple[float, float, float, float] | None = None, tolerance: float = 0.0) -> list[list[XY]]:
+    """Closed cells of the points, within bounds (by default theirs, wider by a half).
+
+    A cell is the bounds cut by the points that share a triangle with its own.
+    """
+    pts = snapped(points, tolerance)
     if not pts:
         return []
     x1, y1, x2, y2 = bounds or (min(p[0] for p in pts), min(p[1] for p in pts), max(p[0] for p in pts), max(p[1] for p in pts))
     if bounds is None:
         dx, dy = (x2 - x1) / 2 or 1.0, (y2 - y1) / 2 or 1.0
         x1, y1, x2, y2 = x1 - dx, y1 - dy, x2 + dx, y2 + dy
+    near: dict[XY, set[XY]] = {p: set() for p in pts}
+    triangles = delaunay(pts)
+    for t in triangles:
+        for p in t:
+            near[p].update(t)
+    if not triangles:  # all on one line: neighbours in order
+        for a, b in zip(pts, pts[1:], strict=False):
+            near[a].add(b)
+            near[b].add(a)
     cells = []
     for p in pts:
         cell = [(x1, y1), (x2, y1), (x2, y2), (x1, y2)]
-        for q in sorted(pts, key=lambda q: math.dist(p, q))[1:]:
-            if cell and math.dist(p, q) > 2 * max(math.dist(p, v) for v in cell):
-                break  # too far to cut the cell, as all that follow are
+        for q in sorted(near[p] - {p}):
             mx, my, nx, ny = (p[0] + q[0]) / 2, (p[1] + q[1]) / 2, p[0] - q[0], p[1] - q[1]
             cell = cut_by_line(cell, lambda v, mx=mx, my=my, nx=nx, ny=ny: (v[0] - mx) * nx + (v[1] - my) * ny)
-        if cell:
+        if len(cell) > 2:
             cells.append([*cell, cell[0]])
     return cells
 
@@ -138,50 +205,77 @@ def _inside(p: XY, rings: list[list[XY]]) -> bool:
     return odd
 
 
-def _split(rings: list[list[XY]], others: list[list[XY]]) -> list[tuple[XY, XY]]:
-    """Edges of rings, cut where edges of the others cross them."""
-    out = []
+def _key(p: XY) -> XY:
+    return round(p[0], 9) + 0.0, round(p[1], 9) + 0.0
+
+
+def _split(rings: list[list[XY]], others: list[list[XY]]) -> dict[tuple[XY, XY], tuple[XY, XY]]:
+    """Edges of rings by their ends, cut where edges or ends of the others meet them."""
+    out = {}
+    edges = [(c, d) for other in others for c, d in zip(other, other[1:], strict=False)]
     for ring in rings:
         for a, b in zip(ring, ring[1:], strict=False):
-            cuts = []
-            for other in others:
-                for c, d in zip(other, other[1:], strict=False):
-                    det = (b[0] - a[0]) * (d[1] - c[1]) - (b[1] - a[1]) * (d[0] - c[0])
-                    if abs(det) > 1e-15:
-                        t = ((c[0] - a[0]) * (d[1] - c[1]) - (c[1] - a[1]) * (d[0] - c[0])) / det
-                        u = ((c[0] - a[0]) * (b[1] - a[1]) - (c[1] - a[1]) * (b[0] - a[0])) / det
-                        if -1e-12 < t < 1 + 1e-12 and -1e-12 < u < 1 + 1e-12:
-                            cuts.append(t)
-            at = [a, *((a[0] + (b[0] - a[0]) * t, a[1] + (b[1] - a[1]) * t) for t in sorted(cuts)), b]
-            out += [(p, q) for p, q in zip(at, at[1:], strict=False) if math.dist(p, q) > 1e-9]
+            ux, uy = b[0] - a[0], b[1] - a[1]
+            size = ux * ux + uy * uy
+            if size < 1e-18:
+                continue
+            cuts = {0.0: a, 1.0: b}
+            for c, d in edges:
+                vx, vy = d[0] - c[0], d[1] - c[1]
+                det = ux * vy - uy * vx
+                if abs(det) > 1e-12 * math.sqrt(size * (vx * vx + vy * vy)):
+                    t = ((c[0] - a[0]) * vy - (c[1] - a[1]) * vx) / det
+                    u = ((c[0] - a[0]) * uy - (c[1] - a[1]) * ux) / det
+                    if -1e-12 < t < 1 + 1e-12 and -1e-12 < u < 1 + 1e-12:
+                        cuts[t] = (a[0] + ux * t, a[1] + uy * t)
+                for p in (c, d):  # ends that lie on the edge
+                    t = ((p[0] - a[0]) * ux + (p[1] - a[1]) * uy) / size
+                    if 0 < t < 1 and math.hypot(a[0] + ux * t - p[0], a[1] + uy * t - p[1]) < 1e-9:
+                        cuts[t] = p
+            at = [cuts[t] for t in sorted(cuts)]
+            for p, q in zip(at, at[1:], strict=False):
+                if _key(p) != _key(q):
+                    out[_key(p), _key(q)] = (p, q)
     return out
 
 
 def combine(g: list[list[XY]], h: list[list[XY]], how: str) -> list[list[XY]]:
-    """Rings of the union, intersection or difference of two polygons, given as rings.
+    """Rings of the union, intersection or difference of two polygons, given as rings; outer ones counter-clockwise.
 
-    Edges are cut at the crossings, those on the border of the result are kept
-    and strung together.
+    Edges are cut where they meet, those on the border of the result are kept and
+    strung together.  Where borders lie on one another, what is inside of both, or of
+    one only, shows by their directions, and such an edge is kept once.
     """
     middle = lambda e: ((e[0][0] + e[1][0]) / 2, (e[0][1] + e[1][1]) / 2)
-    wanted = how == "intersection"
-    edges = [e for e in _split(g, h) if _inside(middle(e), h) == wanted]
-    second = [e for e in _split(h, g) if _inside(middle(e), g) == (how != "union")]
-    edges += [(b, a) for a, b in second] if how == "difference" else second
-    key = lambda p: (round(p[0], 9), round(p[1], 9))
-    after: dict[tuple, list[tuple[XY, XY]]] = {}
+    first, second = _split(g, h), _split(h, g)
+    inner = how == "intersection"
+    edges = []
+    for k, e in first.items():
+        along, against = k in second, k[::-1] in second
+        if against if how == "difference" else along:
+            edges.append(e)
+        elif not along and not against and _inside(middle(e), h) == inner:
+            edges.append(e)
+    for k, e in second.items():
+        if k not in first and k[::-1] not in first and _inside(middle(e), g) == (how != "union"):
+            edges.append(e[::-1] if how == "difference" else e)
+    after: dict[XY, list[tuple[XY, XY]]] = {}
     for e in edges:
-        after.setdefault(key(e[0]), []).append(e)
+        after.setdefault(_key(e[0]), []).append(e)
     rings = []
     while after:
-        begin = next(iter(after))
-        at, ring = begin, []
+        begin = at = next(iter(after))
+        ring: list[XY] = []
         while at in after:
-            e = after[at].pop()
-            if not after[at]:
+            ways = after[at]
+            if len(ways) > 1 and ring:  # where borders touch in a point: the sharpest turn to the left keeps rings apart
+                back = math.atan2(ring[-1][1] - ways[0][0][1], ring[-1][0] - ways[0][0][0])
+                ways.sort(key=lambda e: (back - math.atan2(e[1][1] - e[0][1], e[1][0] - e[0][0])) % (2 * math.pi), reverse=True)
+            e = ways.pop()
+            if not ways:
                 del after[at]
             ring.append(e[0])
-            at = key(e[1])
+            at = _key(e[1])
             if at == begin:
                 break
         if len(ring) > 2 and at == begin:
@@ -221,62 +315,108 @@ def _geometry(gtype: str, parts: list[list[list[XY]]], like) -> dict:
     }
 
 
-def _rows(frame: pd.DataFrame) -> list[dict]:
-    return frame.to_dict("records")
-
-
 def _points(g: dict) -> list[XY]:
     return [(p["x"], p["y"]) for rings in g["parts"] for r in rings for p in r]
 
 
-def _one(function: Callable[[dict], dict | None]):
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([function(g) for g in _rows(frame)], columns=["gtype", "srid", "dim", "parts", "params", "metrics"])
-
-    run.__annotations__ = {"frame": pd.DataFrame, "return": pd.DataFrame}
-    # not inlined into the expressions that use it: Spark takes it out of a projection only where it is worked out once
-    return F.pandas_udf(run, geo.GEOMETRY).asNondeterministic()
-
-
-def _two(function: Callable[[dict, dict], dict | None]):
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([function(g, h) for g, h in zip(_rows(left), _rows(right), strict=True)], columns=["gtype", "srid", "dim", "parts", "params", "metrics"])
-
-    run.__annotations__ = {"left": pd.DataFrame, "right": pd.DataFrame, "return": pd.DataFrame}
-    # not inlined into the expressions that use it: Spark takes it out of a projection only where it is worked out once
-    return F.pandas_udf(run, geo.GEOMETRY).asNondeterministic()
+def minimumboundingcircle(g) -> Construction:
+    def made(g):
+        x, y, r = bounding_circle(_points(g))
+        return _geometry("circle", [[[(x, y)]]], g) | {"params": [r]}
 
+    return Construction([geo.topolygon(g)], made)
+
+
+def bounding_sphere(points: list[tuple[float, float, float]]) -> tuple[float, ...]:
+    """(x, y, z, r) of the smallest sphere: of those on two, three or four of the points, grown point by point."""
+
+    def on(border: list[tuple]) -> tuple[float, ...]:
+        """The smallest sphere through some points: its center is theirs plus a combination of the ways between them."""
+        if not border:
+            return 0.0, 0.0, 0.0, -1.0
+        o, ways = border[0], [[b - a for a, b in zip(border[0], p, strict=True)] for p in border[1:]]
+        dot = lambda u, v: sum(a * b for a, b in zip(u, v, strict=True))
+        rows = [[2 * dot(u, v) for v in ways] + [dot(u, u)] for u in ways]
+        for i in range(len(rows)):
+            pivot = max(range(i, len(rows)), key=lambda k: abs(rows[k][i]))
+            rows[i], rows[pivot] = rows[pivot], rows[i]
+            if abs(rows[i][i]) < 1e-12:
+                return (*o, -1.0)
+            for k in range(len(rows)):
+                if k != i:
+                    f = rows[k][i] / rows[i][i]
+                    rows[k] = [x - f * y for x, y in zip(rows[k], rows[i], strict=True)]
+        share = [row[-1] / row[i] for i, row in enumerate(rows)]
+        c = [o[j] + sum(f * w[j] for f, w in zip(share, ways, strict=True)) for j in range(3)]
+        return (*c, math.dist(c, o))
+
+    holds = lambda s, p: s[3] >= 0 and math.dist(s[:3], p) <= s[3] * (1 + 1e-12) + 1e-12
+
+    def grown(pts: list[tuple], border: list[tuple]) -> tuple[float, ...]:
+        best = on(border)
+        if len(border) == 4:
+            return best
+        for i, p in enumerate(pts):
+            if not holds(best, p):
+                best = grown(pts[:i], [*border, p])
+        return best
+
+    return grown(list(dict.fromkeys(points)), [])
+
+
+def minimumboundingsphere(g) -> Construction:
+    """Of the vertices in space; a missing z is 0."""
+    def made(g):
+        x, y, z, r = bounding_sphere([(p["x"], p["y"], p["z"] or 0.0) for rings in g["parts"] for ring in rings for p in ring])
+        return {"gtype": "sphere", "srid": g["srid"], "dim": 3, "params": [r], "metrics": [], "parts": [[[{"x": x, "y": y, "z": z}]]]}
 
-def convexhull(g) -> Column:
-    """The convex hull of the vertices, as a polygon."""
-    return _one(lambda g: _geometry("polygon", [[hull(_points(g))]], g))(geo.topolygon(g))
+    return Construction([geo.col(g)], made)
 
 
-def minimumboundingcircle(g) -> Column:
+def concavehull(g, longest: float) -> Construction:
+    """The outline of the Delaunay triangles whose sides are no longer than ``longest``; the convex hull if that leaves none."""
     def made(g):
-        x, y, r = bounding_circle(_points(g))
-        return _geometry("circle", [[[(x, y)]]], g) | {"params": [r]}
+        points = _points(g)
+        kept = [t for t in delaunay(points) if all(math.dist(a, b) <= longest for a, b in zip(t, (*t[1:], t[0]), strict=True))]
+        edges = {(a, b) for t in kept for a, b in zip(t, (*t[1:], t[0]), strict=True)}
+        after: dict[XY, list[XY]] = {}
+        for a, b in sorted(edges):
+            if (b, a) not in edges:
+                after.setdefault(a, []).append(b)
+        rings = []
+        while after:
+            ring = [next(iter(after))]
+            while ring[-1] in after:
+                ways = after[ring[-1]]
+                step = ways.pop()
+                if not ways:
+                    del after[ring[-1]]
+                ring.append(step)
+                if step == ring[0]:
+                    break
+            rings.append(ring)
+        polygons = _grouped(rings) or [[hull(points)]]
+        return _geometry("polygon" if len(polygons) == 1 else "multipolygon", polygons, g)
 
-    return _one(made)(geo.topolygon(g))
+    return Construction([geo.topolygon(g)], made)
 
 
-def delaunaytriangles(g) -> Column:
+def delaunaytriangles(g, tolerance: float = 0.0) -> Construction:
     """The Delaunay triangles of the vertices, as a multipolygon."""
-    return _one(lambda g: _geometry("multipolygon", [[[a, b, c, a]] for a, b, c in delaunay(_points(g))], g))(geo.col(g))
+    return Construction([geo.col(g)], lambda g: _geometry("multipolygon", [[[a, b, c, a]] for a, b, c in delaunay(_points(g), tolerance)], g))
 
 
-def voronoipolygons(g, bounds: tuple[float, float, float, float] | None = None) -> Column:
-    return _one(lambda g: _geometry("multipolygon", [[c] for c in voronoi(_points(g), bounds)], g))(geo.col(g))
+def voronoipolygons(g, tolerance: float = 0.0, bounds: tuple[float, float, float, float] | None = None) -> Construction:
+    return Construction([geo.col(g)], lambda g: _geometry("multipolygon", [[c] for c in voronoi(_points(g), bounds, tolerance)], g))
 
 
-def voronoilines(g, bounds: tuple[float, float, float, float] | None = None) -> Column:
+def voronoilines(g, tolerance: float = 0.0, bounds: tuple[float, float, float, float] | None = None) -> Construction:
     """The borders of the cells, each once."""
     def made(g):
-        key = lambda p: (round(p[0], 9), round(p[1], 9))
-        sides = {frozenset((key(a), key(b))): (a, b) for c in voronoi(_points(g), bounds) for a, b in zip(c, c[1:], strict=False)}
+        sides = {frozenset((_key(a), _key(b))): (a, b) for c in voronoi(_points(g), bounds, tolerance) for a, b in zip(c, c[1:], strict=False)}
         return _geometry("multilinestring", [[list(s)] for k, s in sides.items() if len(k) == 2], g)
 
-    return _one(made)(geo.col(g))
+    return Construction([geo.col(g)], made)
 
 
 def _boolean(how: str):
@@ -284,30 +424,74 @@ def _boolean(how: str):
         polygons = _grouped(combine(_oriented(g["parts"]), _oriented(h["parts"]), how))
         return _geometry("polygon" if len(polygons) == 1 else "multipolygon", polygons, g)
 
-    return lambda g, h: _two(made)(geo.topolygon(g), geo.topolygon(h))
+    return lambda g, h: Construction([geo.topolygon(g), geo.topolygon(h)], made)
 
 
 union, intersection, difference = map(_boolean, ("union", "intersection", "difference"))
 
 
-def symdifference(g, h) -> Column:
-    """Both differences together."""
-    return geo.collect(difference(g, h), difference(h, g))
+def symdifference(g, h) -> Construction:
+    """Both differences together, as a multipolygon."""
+    def made(g, h):
+        p, q = _oriented(g["parts"]), _oriented(h["parts"])
+        return _geometry("multipolygon", _grouped(combine(p, q, "difference")) + _grouped(combine(q, p, "difference")), g)
 
+    return Construction([geo.topolygon(g), geo.topolygon(h)], made)
 
-def buffer(g, distance: float, sides: int = geo.SIDES) -> Column:
-    """All within a distance, round: of points and convex polygons one polygon, of lines a capsule for each segment."""
-    turns = [(math.cos(2 * math.pi * k / sides) * distance, math.sin(2 * math.pi * k / sides) * distance) for k in range(sides)]
-    around = lambda pts: hull([(x + dx, y + dy) for x, y in pts for dx, dy in turns])
+
+def buffer(g, distance: float, sides: int = geo.SIDES, right: float | None = None, join: str = "round", end: str = "round", point: str = "circle") -> Construction:
+    """All within a distance, as polygons that are united.
+
+    right: another distance to the right of lines.  join: corners, "round" or "miter";
+    end: of lines, "round" or "flat"; point: around points, "circle" or "square".
+    """
+    right = distance if right is None else right
+    turns = [(math.cos(2 * math.pi * k / sides), math.sin(2 * math.pi * k / sides)) for k in range(sides)]
+    disc = lambda p, r: [(p[0] + x * r, p[1] + y * r) for x, y in turns]
+
+    def strip(a: XY, b: XY) -> list[XY]:
+        size = math.dist(a, b)
+        nx, ny = -(b[1] - a[1]) / size, (b[0] - a[0]) / size
+        return [(p[0] + nx * d, p[1] + ny * d) for p, d in ((a, -right), (b, -right), (b, distance), (a, distance))]
+
+    def corner(a: XY, b: XY, c: XY) -> list[XY]:
+        """What two strips leave open on the outer side of a corner."""
+        d = distance if _turn(a, b, c) < 0 else right
+        if join == "round":
+            return disc(b, d)
+        ways = [(-(q[1] - p[1]) / math.dist(p, q), (q[0] - p[0]) / math.dist(p, q)) for p, q in ((a, b), (b, c))]
+        sign = 1 if _turn(a, b, c) < 0 else -1
+        (px, py), (qx, qy) = ((sign * d * x, sign * d * y) for x, y in ways)
+        det = 1 + (px * qx + py * qy) / (d * d)
+        tip = [] if det < 1e-6 else [(b[0] + (px + qx) / det, b[1] + (py + qy) / det)]
+        return [b, (b[0] + px, b[1] + py), *tip, (b[0] + qx, b[1] + qy)]
+
+    def around(line: list[XY], closed: bool) -> list[list[XY]]:
+        line = [p for k, p in enumerate(line) if not k or p != line[k - 1]]
+        if len(line) < 2:
+            return [disc(line[0], distance)]
+        out = [strip(a, b) for a, b in zip(line, line[1:], strict=False)]
+        turns_ = list(zip(line, line[1:], line[2:], strict=False)) + ([(line[-2], line[0], line[1])] if closed else [])
+        out += [corner(*t) for t in turns_ if abs(_turn(*t)) > 1e-12 or join == "round"]
+        return out if closed or end == "flat" else [*out, disc(line[0], max(distance, right)), disc(line[-1], max(distance, right))]
 
     def made(g):
+        pieces: list[list[XY]] = []
         if g["gtype"] in ("point", "multipoint"):
-            parts = [[around([p])] for p in _points(g)]
-        elif g["gtype"] in geo.AREAL:
-            parts = [[around([(p["x"], p["y"]) for p in rings[0]])] for rings in g["parts"]]
+            square_ = lambda p: [(p[0] + x * distance, p[1] + y * distance) for x, y in ((-1, -1), (1, -1), (1, 1), (-1, 1))]
+            pieces = [square_(p) if point == "square" else disc(p, distance) for p in _points(g)]
+            whole: list[list[XY]] = []
         else:
-            lines = [[(p["x"], p["y"]) for p in r] for rings in g["parts"] for r in rings]
-            parts = [[around([a, b])] for line in lines for a, b in zip(line, line[1:], strict=False)]
-        return _geometry("polygon" if len(parts) == 1 else "multipolygon", parts, g)
+            areal = g["gtype"] in geo.AREAL
+            for rings in g["parts"]:
+                for r in rings:
+                    pieces += around([(p["x"], p["y"]) for p in r], areal)
+            whole = _oriented(g["parts"]) if areal else []
+        for p in pieces:
+            ring = hull(p)
+            if len(ring) > 3:
+                whole = combine(whole, [ring], "union") if whole else [ring]
+        polygons = _grouped(whole)
+        return _geometry("polygon" if len(polygons) == 1 else "multipolygon", polygons, g)
 
-    return _one(made)(geo.topolygon(g))
+    return Construction([geo.topolygon(g)], made)

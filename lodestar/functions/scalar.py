@@ -135,7 +135,7 @@ def like(s, pattern: str) -> Column:
 
 def match(s, pattern: str) -> Column:
     """The whole string matches the regular expression."""
-    return _col(s).rlike(f"^(?:{pattern})$")
+    return _col(s).rlike(rf"\A(?:{pattern})\z")
 
 
 # dates and times

@@ -40,9 +40,9 @@ def similarity(a, b, kind: str = "cosine") -> Column:
     return F.when(F.size(a) == F.size(b), value)
 
 
-def top_similar(df: DataFrame, vector: str, query: list[float], k: int, kind: str = "cosine", order: str | None = None) -> DataFrame:
-    """The k rows nearest to one query vector, with ``similarity``; ties by the column ``order``."""
-    given = F.array(*[F.lit(float(x)) for x in query])
+def top_similar(df: DataFrame, vector: str, query: list[float] | Column, k: int, kind: str = "cosine", order: str | None = None) -> DataFrame:
+    """The k rows nearest to one query vector (numbers, or a column that has it), with ``similarity``; ties by the column ``order``."""
+    given = query if isinstance(query, Column) else F.array(*[F.lit(float(x)) for x in query])
     scored = df.withColumn("similarity", similarity(vector, given, kind))
     best = F.col("similarity").asc() if kind in ("euclidean", "manhattan") else F.col("similarity").desc()
     return scored.orderBy(best, *([order] if order else [])).limit(k)

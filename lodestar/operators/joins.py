@@ -10,17 +10,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: A range goes to this many bins at most; a longer one goes to bins of a coarser level.
+MAX_BINS = 8
+_LEVELS = 60
+
+
+def _binned(df: DataFrame, begin: str, end: str, width: float) -> DataFrame:
+    """Rows with the bins that they touch, of a level at which they touch MAX_BINS at most."""
+    size = F.greatest(F.col(end) - F.col(begin), F.lit(0.0)) / width
+    level = F.greatest(F.ceil(F.log2(F.greatest(size / (MAX_BINS - 1), F.lit(1.0)))), F.lit(0)).cast("int")
+    own = F.pow(F.lit(2.0), F.col("__level")) * width
+    leveled = df.withColumn("__level", F.least(level, F.lit(_LEVELS)))
+    return leveled.withColumn("__bin", F.explode(F.sequence(F.floor(F.col(begin) / own), F.floor(F.col(end) / own))))
+
+
 def overlap_join(left: DataFrame, right: DataFrame, begin: str, end: str, right_begin: str, right_end: str, width: float) -> DataFrame:
     """Pairs whose ranges [begin, end] and [right_begin, right_end] overlap (ends that only meet don't).
 
-    Numbers; ``width`` is a bin's, best near the length of a usual range.
+    Numbers; ``width`` is a bin's, best near the length of a usual range.  Bins double
+    from level to level, and a range is in a few bins of its level however long it
+    is.  Levels that the two sides have are few, and each pair of them is joined at
+    the coarser.  Bins that very many ranges share are split as skewed join keys.
     """
-    bins = lambda a, b: F.sequence(F.floor(F.col(a) / width), F.floor(F.col(b) / width))
-    a = left.withColumn("__bin", F.explode(bins(begin, end)))
-    b = right.withColumn("__bin", F.explode(bins(right_begin, right_end)))
-    first = F.floor(F.greatest(F.col(begin), F.col(right_begin)) / width)
-    met = (F.col(end) > F.col(right_begin)) & (F.col(right_end) > F.col(begin)) & (F.col("__bin") == first)
-    return a.join(b, "__bin").where(met).drop("__bin")
+    a, b = _binned(left, begin, end, width), _binned(right, right_begin, right_end, width)
+    levels = a.select("__level").distinct().crossJoin(b.select(F.col("__level").alias("__other")).distinct())  # some dozens of rows
+    at = F.greatest("__level", "__other").alias("__at")
+    up = lambda level: F.floor(F.col("__bin") / F.pow(F.lit(2.0), F.col("__at") - F.col(level))).alias("__bin")
+    reach = lambda df, level: df.join(F.broadcast(levels.select(level, at).distinct()), level)
+    a = reach(a, "__level").select(*left.columns, "__level", "__at", up("__level")).distinct()
+    b = reach(b.withColumnRenamed("__level", "__other"), "__other").select(*right.columns, "__other", "__at", up("__other")).distinct()
+    first = F.floor(F.greatest(F.col(begin), F.col(right_begin)) / (F.pow(F.lit(2.0), F.col("__at")) * width))
+    met = (F.col(end) > F.col(right_begin)) & (F.col(right_end) > F.col(begin)) & (F.col("__bin") == first) & (F.col("__at") == F.greatest("__level", "__other"))
+    return a.join(b, ["__at", "__bin"]).where(met).select(*left.columns, *right.columns)
 
 
 def within_join(left: DataFrame, right: DataFrame, x: str, y: str, right_x: str, right_y: str, radius: float) -> DataFrame:

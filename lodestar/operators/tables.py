@@ -77,6 +77,21 @@ def upsert(table: DataFrame, rows: DataFrame, keys: list[str], version: str | No
     return table.join(latest.select(*keys), keys, "left_anti").select(*table.columns).unionByName(latest)
 
 
+def insert_values(table: DataFrame, values: list[tuple], keys: list[str]) -> DataFrame:
+    """Literal rows, in the order of the table's columns; of those with one key the first is taken."""
+    rows = table.sparkSession.createDataFrame([(*v, i) for i, v in enumerate(values)], T.StructType([*table.schema.fields, T.StructField("__order", T.IntegerType())]))
+    first = rows.groupBy(*keys).agg(*[F.min_by(c, "__order").alias(c) for c in table.columns if c not in keys])
+    return insert(table, first, keys)
+
+
+def apply_changes(table: DataFrame, log: DataFrame, keys: list[str], order: str, op: str) -> DataFrame:
+    """The table after a log of changes: for each key the last one by ``order`` counts, a "delete" takes the row away."""
+    last = Window.partitionBy(*keys).orderBy(F.desc(order))
+    latest = log.withColumn("__n", F.row_number().over(last)).where("__n = 1")
+    kept = table.join(latest.select(*keys), keys, "left_anti").select(*table.columns)
+    return kept.unionByName(latest.where(F.col(op) != "delete").select(*table.columns))
+
+
 def update(table: DataFrame, spec: TableSpec, where: Column, **values) -> DataFrame:
     """Sets value columns of the rows that meet the condition."""
     if spec.append_only:
@@ -98,9 +113,10 @@ def truncate(table: DataFrame) -> DataFrame:
     return table.limit(0)
 
 
-def index_view(table: DataFrame, columns: list[str]) -> DataFrame:
-    """An index: its columns only, in their order."""
-    return table.select(*columns).orderBy(*columns)
+def index_view(table: DataFrame, columns: list[str], ordered: bool = True) -> DataFrame:
+    """An index: its columns only, in their order; not ordered for counts and groups, which need no sort."""
+    view = table.select(*columns)
+    return view.orderBy(*columns) if ordered else view
 
 
 def add_column(table: DataFrame, name: str, kind: str, default=None) -> DataFrame:

@@ -33,6 +33,14 @@ class TimeSeries:
         parse_period(tick)
         return TimeSeries({**self.ticks, tick: retention}, self.retention)
 
+    def set_retention(self, tick: str | None, retention: str | None) -> TimeSeries:
+        """Another retention of a tick, or with None as the tick of the base table."""
+        if tick is None:
+            return TimeSeries(dict(self.ticks), retention)
+        if tick not in self.ticks:
+            raise ValueError(f"no tick {tick!r}")
+        return TimeSeries({**self.ticks, tick: retention}, self.retention)
+
     def drop_tick(self, tick: str) -> TimeSeries:
         return TimeSeries({t: r for t, r in self.ticks.items() if t != tick}, self.retention)
 
@@ -116,10 +124,10 @@ def build_ticks(df: DataFrame, series: TimeSeries, ts: str, keys: list[str], rol
     return {tick: build_tick(df, tick, ts, keys, rollup, order) for tick in series.ticks}
 
 
-def slice_tick(tick_table: DataFrame, **keys: str) -> DataFrame:
-    """The rows of one combination: named keys at their values, ``*`` for those that are to be summed over."""
-    for k, v in keys.items():
-        tick_table = tick_table.where(F.col(k) == str(v))
+def slice_tick(tick_table: DataFrame, keys: list[str], **values: str) -> DataFrame:
+    """The rows of one combination of the table's keys: those named at their values, the others summed over."""
+    for k in keys:
+        tick_table = tick_table.where(F.col(k) == str(values.get(k, ALL)))
     return tick_table
 
 

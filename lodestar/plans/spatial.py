@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestar.functions import geometry as geo
-from lodestar.functions import geometry_kernels as kernels
 from lodestar.operators import joins
 from lodestar.plans.registry import register, table
 
@@ -158,25 +157,3 @@ def geo_along_lines(spark, sf):
     return _lines(spark, sf).withColumn("half", geo.interpolate("g", 0.5)).select(
         "id", _r(geo.center(half)["x"]).alias("x"), _r(geo.center(half)["y"]).alias("y"), _r(geo.linelength(geo.linesubstring("g", 0.25, 0.75)) / geo.linelength("g")).alias("part"),
         _r(geo.locatepoint("g", geo.center(half))).alias("at"), geo.numpoints(geo.knn("g", geo.xyz(25, 30), 2)).alias("near"), geo.issimple("g").alias("simple"))
-
-
-@register("geo_hulls")
-def geo_hulls(spark, sf):
-    """Hulls, bounding circles, triangles and cells of each order's points."""
-    df = _lines(spark, sf).where(geo.numpoints("g") > 3)
-    made = df.select(
-        "id", kernels.convexhull("g").alias("hull"), kernels.minimumboundingcircle("g").alias("circle"), kernels.delaunaytriangles("g").alias("triangles"),
-        kernels.voronoipolygons("g", (0.0, 0.0, 60.0, 120.0)).alias("cells"))
-    return made.select("id", _r(geo.area("hull")).alias("hull"), _r(F.col("circle")["params"][0]).alias("radius"), _r(geo.area("triangles")).alias("triangles"), _r(geo.area("cells")).alias("cells"))
-
-
-@register(
-    "geo_overlay",
-    f"""SELECT id, round(i, 6) AS common, round(8 * a * b - i, 6) AS both, round(4 * a * b - i, 6) AS rest FROM (SELECT *, (2 * a - 0.5) * (2 * b - 0.25) AS i FROM {_S})""",
-)
-def geo_overlay(spark, sf):
-    """Union, intersection and difference of a rectangle and itself moved."""
-    g = geo.rectangle("x", "y", "a", "b")
-    df = _suppliers(spark, sf).select("id", g.alias("g"), geo.translate(g, 0.5, 0.25).alias("h"))
-    made = df.select("id", kernels.intersection("g", "h").alias("common"), kernels.union("g", "h").alias("both"), kernels.difference("g", "h").alias("rest"))
-    return made.select("id", *[_r(geo.area(c)).alias(c) for c in ("common", "both", "rest")])

@@ -60,14 +60,14 @@ def tick_cube_1d(spark, sf):
     """SELECT date_trunc('day', ts) AS ts, event_type, count(*) AS counter, round(sum(value), 2) AS total FROM events GROUP BY 1, 2""",
 )
 def tick_slice(spark, sf):
-    return ticks.slice_tick(_tick(spark, sf, "1d"), user_id="*").where("event_type <> '*'").select("ts", "event_type", "counter", "total")
+    return _tick(spark, sf, "1d").where("user_id = '*' AND event_type <> '*'").select("ts", "event_type", "counter", "total")
 
 
 @register("retention", "SELECT event_id, ts FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 48 HOUR")
 def retention(spark, sf):
     events = table(spark, sf, "events")
-    now = events.agg(F.max("ts")).first()[0]
-    return ticks.retain(events, "ts", "48h", F.lit(now)).select("event_id", "ts")
+    dated = events.crossJoin(events.agg(F.max("ts").alias("now")))  # of one row
+    return ticks.retain(dated, "ts", "48h", F.col("now")).select("event_id", "ts")
 
 
 @register("tick_merge_late", "SELECT date_trunc('day', ts) AS ts, event_type, count(*) AS counter FROM events GROUP BY 1, 2")

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def load_csv(spark: SparkSession, path: str, schema: T.StructType | str, columns: str = ",", lines: str = "\n", quote: str = "'") -> DataFrame:
+def load_csv(spark: SparkSession, path: str, schema: T.StructType | str, columns: str = ",", lines: str = "\n", quote: str = "'", header: bool = False) -> DataFrame:
     """A file of separated values; by default commas, one line a row, single quotes."""
-    return spark.read.csv(path, schema=schema, sep=columns, lineSep=lines, quote=quote)
+    return spark.read.csv(path, schema=schema, sep=columns, lineSep=lines, quote=quote, header=header)
 
 
 def export_csv(df: DataFrame, path: str, columns: str = ",", quote: str = '"') -> None:
@@ -32,9 +32,9 @@ def export_sql(df: DataFrame, path: str, table: str) -> None:
     insert_statements(df, table).write.text(path)
 
 
-def read_files(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
+def read_files(spark: SparkSession, path: str, pattern: str | None = None, recursive: bool = False) -> DataFrame:
     """Files as rows: fpath, time, size, sizemb, sizegb, md5 and content."""
-    reader = spark.read.format("binaryFile")
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", recursive)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     files = reader.load(path)
@@ -44,6 +44,12 @@ def read_files(spark: SparkSession, path: str, pattern: str | None = None) -> Da
     )
 
 
+def with_files(rows: DataFrame, column: str, path: str, pattern: str | None = None, recursive: bool = False) -> DataFrame:
+    """Rows whose ``column`` names files below a path, with the files' attributes and contents; null where there is none."""
+    found = read_files(rows.sparkSession, path, pattern, recursive).drop("md5")
+    return rows.join(found.withColumnRenamed("fpath", column), column, "left")
+
+
 def read_jdbc(spark: SparkSession, url: str, table: str, key: str | None = None, bounds: tuple[int, int] | None = None, parts: int = 16, **options: str) -> DataFrame:
     """A table of another database, read in parts of a numeric key."""
     reader = spark.read.format("jdbc").options(url=url, dbtable=table, **options)
@@ -53,7 +59,6 @@ def read_jdbc(spark: SparkSession, url: str, table: str, key: str | None = None,
 
 
 
-
 def read_geojson(df: DataFrame, col: str) -> DataFrame:
     """GeoJSON text to ``geom`` (see lodestar.functions.geometry)."""
     from lodestar.functions.geometry import from_geojson

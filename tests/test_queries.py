@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from lodestar.plans import registry, relational, spatial, timeseries  # noqa: F401
+from lodestar.plans import registry, relational, shapes, spatial, storage, timeseries  # noqa: F401
 
 FOLDER = "/root/testdata/sf0.001"
 
