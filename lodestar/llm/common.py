@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import tempfile
 import types
@@ -38,13 +39,16 @@ def shared_table(df: DataFrame) -> DataFrame:
     """As ``checkpointed``, but as a compressed Parquet table; for larger frames.
 
     Spark deletes the files of shuffles that nothing refers to any more when the
-    driver collects its garbage.  That is asked for here, as the steps before
-    may have left many.
+    driver collects its garbage.  That is asked for here, as the steps before may
+    have left many; after the table's schema was read, as Spark holds on to its last
+    job until another is run.
     """
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    written = df.sparkSession.read.parquet(path)
+    gc.collect()
     df.sparkSession.sparkContext._jvm.System.gc()
-    return df.sparkSession.read.parquet(path)
+    return written
 
 
 def text_key(doc_id: str, text: str) -> Column:
