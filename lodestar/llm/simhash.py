@@ -14,6 +14,8 @@ anchor whole fingerprints are compared.
 
 from __future__ import annotations
 
+import functools
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import checkpointed, sliced
+from lodestar.llm.common import checkpointed, shared_table, sliced
 from lodestar.llm.components import connected_components
 
 THRESHOLD = 3
@@ -214,8 +216,8 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thre
 
     component_id is the smallest id among all documents that a row reaches over
     links of fingerprints within the threshold; its own document is included.
-    A null or empty text has the fingerprint zero and is linked like any other.
-    Rows that repeat stay, each with its result.  A null id is kept and is never
+    A null or empty text has the fingerprint zero and is linked like any other;
+    very long texts are read whole.  Ties of ids are one id.  Rows that repeat stay, each with its result.  A null id is kept and is never
     the smallest, so that a component of null ids only has a null component_id.
     An empty table gives no rows.  Other columns are not looked at.
     """
@@ -231,21 +233,109 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thre
     return prints.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
-    """One row of each component, the one of its smallest id, with all its columns.
+#: Seeds of the fingerprints of single words, which lead to more candidates; their links hold if the texts are alike.
+WORD_SEEDS = (1, 2, 3)
+#: Words of a shingle, and shared part of all shingles, at which two texts are alike.
+ALIKE_WORDS, ALIKE = 5, 0.8
 
-    Of rows that share the smallest id the one of the smallest hash stays, and of a
-    component without ids too: a component keeps one row, and no row goes for
-    another component's sake.
+
+def word_fingerprints(text: str | None, seeds: tuple[int, ...] = WORD_SEEDS) -> list[int]:
+    """64-bit SimHashes of a text's words, each counted as often as it stands there."""
+    counts = Counter((text or "").encode().translate(_CAPITALS).split())
+    if not counts:
+        return [0] * len(seeds)
+    weights = np.fromiter(counts.values(), dtype=np.int64, count=len(counts))
+    n, out = int(weights.sum()), []
+    for seed in seeds:
+        hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in counts), dtype=np.uint64, count=len(counts))
+        total = np.zeros(64, dtype=np.int64)
+        for k in range(0, len(counts), 65_536):
+            bits = np.unpackbits(hashes[k : k + 65_536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+            total += weights[k : k + 65_536] @ bits
+        out.append(int(np.packbits(total * 2 > n).view(">u8")[0]))
+    return out
+
+
+def shingles(text: str | None, size: int = ALIKE_WORDS) -> frozenset[int]:
+    words = (text or "").encode().translate(_CAPITALS).split()
+    return frozenset(xxhash.xxh3_64_intdigest(b" ".join(words[k : k + size])) for k in range(max(len(words) - size + 1, 1)))
+
+
+def _row_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["row", "fp_0", *(f"fp_{k + 1}" for k in range(len(WORD_SEEDS)))]
+    for batch in sliced(batches):
+        made = [[fingerprint(t), *word_fingerprints(t)] for t in batch.column(1).to_pylist()]
+        prints = np.array(made, dtype=np.uint64).reshape(batch.num_rows, 1 + len(WORD_SEEDS)).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(c)) for c in prints.T)], names=names)
+
+
+def _alike(similarity: float):
+    """Of rows (u, v, text, other) the pairs whose texts are alike."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: tuple = ("", frozenset())
+        for batch in sliced(batches, 128):
+            keep = []
+            for text, other in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if known[0] is not other and known[0] != other:  # the pairs of one text follow one another
+                    known = other, shingles(other)
+                own = shingles(text)
+                both = len(own & known[1])
+                keep.append(both >= similarity * (len(own) + len(known[1]) - both))
+            yield pa.RecordBatch.from_arrays(list(batch.columns[:2]), names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def alike_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, similarity: float = ALIKE) -> DataFrame:
+    """(u, v) of rows, as (none, id, key), whose contract fingerprints link, and of those that word fingerprints bring together and whose texts are alike.
+
+    Of the rows of one fingerprint each is held against the least, and of two that
+    link the least against the least: no group is expanded into its pairs.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
-    keyed = docs.withColumn("__key", F.xxhash64(f"`{doc_id}`", f"`{text}`"))
-    rows = keyed.select(F.struct(F.col(f"`{doc_id}`").alias("id"), F.col("__key").alias("key")).alias("row"), F.col(f"`{text}`").alias("text"))
-    prints = rows.mapInArrow(_fingerprints, f"doc_id struct<id:{kind},key:bigint>, fp long")
-    least = F.min(F.struct(F.col("doc_id.id").isNull().alias("none"), F.col("doc_id.id").alias("id"), F.col("doc_id.key").alias("key")))
-    nodes = checkpointed(prints.groupBy("fp").agg(least.alias("first")))
-    labels = connected_components(link_fingerprints(nodes, threshold)).withColumnRenamed("node", "fp")
-    kept = nodes.join(labels, "fp", "left").groupBy(F.coalesce("label", "fp").alias("label")).agg(F.min("first").alias("first"))
-    kept = kept.select(F.col("first.id").alias("__id"), F.col("first.key").alias("__kept"))
-    same = (keyed["__key"] == kept["__kept"]) & keyed[doc_id].eqNullSafe(kept["__id"])
-    return keyed.join(kept, same, "left_semi").dropDuplicates([doc_id, "__key"]).drop("__key")
+    row = F.struct(F.col(f"`{doc_id}`").isNull().alias("none"), F.col(f"`{doc_id}`").alias("id"), F.xxhash64(f"`{doc_id}`", f"`{text}`").alias("key"))
+    rows = docs.select(row.alias("row"), F.col(f"`{text}`").alias("text"))
+    names = ", ".join(f"fp_{k} long" for k in range(1 + len(WORD_SEEDS)))
+    prints = shared_table(rows.mapInArrow(_row_prints, f"row struct<none:boolean,id:{kind},key:bigint>, {names}").distinct())
+    every = []
+    for k in range(1 + len(WORD_SEEDS)):
+        own = prints.select("row", F.col(f"fp_{k}").alias("fp"))
+        nodes = checkpointed(own.groupBy("fp").agg(F.min("row").alias("first")))
+        links = link_fingerprints(nodes, threshold)
+        within = own.join(nodes, "fp").where("row > first").select(F.col("row").alias("u"), F.col("first").alias("v"))
+        first = lambda c: nodes.select(F.col("fp").alias(c), F.col("first").alias(f"first_{c}"))
+        across = links.join(first("u"), "u").join(first("v"), "v").select(F.greatest("first_u", "first_v").alias("u"), F.least("first_u", "first_v").alias("v"))
+        every.append(shared_table(within.unionByName(across).distinct()))
+    sure, *others = every
+    candidates = functools.reduce(DataFrame.unionByName, others).distinct().join(sure, ["u", "v"], "left_anti")
+    candidates = checkpointed(candidates)
+    texts = rows.dropDuplicates(["row"]) if _repeats(rows.select(F.col("row").alias("id"))) else rows
+    of = lambda c, name: texts.select(F.col("row").alias(c), F.col("text").alias(name))
+    held = candidates.join(of("u", "text"), "u").join(of("v", "other"), "v").select("u", "v", "text", "other")
+    return sure.unionByName(held.mapInArrow(_alike(similarity), sure.schema))
+
+
+def _repeats(ids: DataFrame) -> bool:
+    return bool(ids.groupBy("id").count().where("count > 1").limit(1).count())
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, similarity: float = ALIKE) -> DataFrame:
+    """One row of each group of near duplicates, the one of its smallest id, with all its columns.
+
+    Two rows are near duplicates if their fingerprints link, or if fingerprints of
+    their words do and their texts share so much of their five-word shingles.  Of
+    rows that share the smallest id the one of the smallest hash stays, and of a
+    group without ids too: a group keeps one row, and no row goes for another group's
+    sake.  Null and empty texts are one group; very long texts are read whole; an
+    empty table gives no rows; columns of any name are kept.
+    """
+    links = alike_links(docs, doc_id, text, threshold, similarity)
+    gone = connected_components(links).where("node > label").select(F.col("node.id").alias("__id"), F.col("node.key").alias("__gone"))
+    name = next(c for k in range(len(docs.columns) + 1) if (c := f"__key_{k}") not in docs.columns)
+    keyed = docs.withColumn(name, F.xxhash64(f"`{doc_id}`", f"`{text}`"))
+    same = (keyed[name] == gone["__gone"]) & keyed[doc_id].eqNullSafe(gone["__id"])
+    kept = keyed.join(gone, same, "left_anti")
+    if _repeats(docs.select(F.col(f"`{doc_id}`").alias("id"))):  # rows that repeat share a key
+        kept = kept.dropDuplicates([doc_id, name])
+    return kept.drop(name)
