@@ -15,27 +15,47 @@ from lodestar.llm.common import documents, shared_folder
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go; boilerplate lines go from the others."""
+    """Documents that the rules reject go; boilerplate lines go from the others.
+
+    Null and empty texts go, as texts of few words do; rows that repeat stay, as do null ids and other columns.
+    Very long texts are read whole.  An empty table gives none.
+    """
     return quality.clean(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of the smallest id stays."""
+    """Of each group of near duplicates the document of the smallest id stays.
+
+    Rows that repeat are one, null and empty texts are one group, a null id comes last.  Ties of ids go by a hash
+    of the row.  Very long texts are read whole.  An empty table gives none.
+    """
     return simhash.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a passage of the benchmark go."""
+    """Documents with a passage of the benchmark go.
+
+    Null and empty texts stay, and so do rows that repeat and null ids.  Very long texts are read whole.  An empty
+    table gives none.
+    """
     return decontaminate.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark; all documents stay."""
+    """Secrets are replaced by a mark; all documents stay.
+
+    Null and empty texts stay as they are, rows that repeat are treated alike.  Very long texts are read whole.  An
+    empty table gives none.
+    """
     return secrets.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and their places in the training sequences."""
+    """The pieces of all documents and their places in the training sequences.
+
+    A null or empty text is one piece; rows that repeat, share an id or have none are packed each by itself.  Very
+    long texts fill sequences of their own.  An empty table gives none.
+    """
     return packing.pack(docs)
 
 
