@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import functools
 import math
+import types
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -369,14 +370,16 @@ def signed_area(ring: Column) -> Column:
 
 
 def _case(g: Column, cases: dict, otherwise=None) -> Column:
-    out = None
+    """The value for g's type; values that are functions are made only if a plan needs them."""
+    made = lambda value: value() if isinstance(value, types.FunctionType) else value
     if kind_of(g) is not None:
         fits = [value for kinds, value in cases.items() if kind_of(g) in ([kinds] if isinstance(kinds, str) else kinds)]
-        return fits[0] if fits else F.lit(None) if otherwise is None else otherwise
+        return made(fits[0]) if fits else F.lit(None) if otherwise is None else made(otherwise)
+    out = None
     for kinds, value in cases.items():
         test = g["gtype"].isin(*([kinds] if isinstance(kinds, str) else kinds))
-        out = F.when(test, value) if out is None else out.when(test, value)
-    return out if otherwise is None else out.otherwise(otherwise)
+        out = F.when(test, made(value)) if out is None else out.when(test, made(value))
+    return out if otherwise is None else out.otherwise(made(otherwise))
 
 
 # --- measures ---------------------------------------------------------------------------------
@@ -388,12 +391,12 @@ def area(g) -> Column:
     g = col(g)
     p = g["params"]
     a, b, c = p[0], F.try_element_at(p, F.lit(2)), F.try_element_at(p, F.lit(3))
-    flat = _sum(F.transform(g["parts"], lambda rings: F.abs(signed_area(rings[0])) - _sum(F.transform(F.slice(rings, 2, F.greatest(F.size(rings) - 1, F.lit(0))), lambda r: F.abs(signed_area(r))))))
+    flat = lambda: _sum(F.transform(g["parts"], lambda rings: F.abs(signed_area(rings[0])) - _sum(F.transform(F.slice(rings, 2, F.greatest(F.size(rings) - 1, F.lit(0))), lambda r: F.abs(signed_area(r))))))
     pw = 1.6075
-    mean = F.pow((F.pow(a * b, F.lit(pw)) + F.pow(a * c, F.lit(pw)) + F.pow(b * c, F.lit(pw))) / 3, F.lit(1 / pw))
+    mean = lambda: F.pow((F.pow(a * b, F.lit(pw)) + F.pow(a * c, F.lit(pw)) + F.pow(b * c, F.lit(pw))) / 3, F.lit(1 / pw))
     return _case(g, {
         "circle": math.pi * a * a, "square": 4 * a * a, "rectangle": 4 * a * b, "ellipse": math.pi * a * b, AREAL: flat, "sphere": 4 * math.pi * a * a, "cube": 24 * a * a,
-        "box": 8 * (a * b + b * c + a * c), "cylinder": 2 * math.pi * a * (a + b), "cone": math.pi * a * (a + F.sqrt(a * a + b * b)), "ellipsoid": 4 * math.pi * mean,
+        "box": 8 * (a * b + b * c + a * c), "cylinder": 2 * math.pi * a * (a + b), "cone": math.pi * a * (a + F.sqrt(a * a + b * b)), "ellipsoid": lambda: 4 * math.pi * mean(),
     })
 
 
@@ -414,7 +417,7 @@ def _length(g: Column) -> Column:
 @on_geometry
 def linelength(g) -> Column:
     g = col(g)
-    return _case(g, {LINEAR: _length(g)})
+    return _case(g, {LINEAR: lambda: _length(g)})
 
 
 @on_geometry
@@ -425,7 +428,7 @@ def perimeter(g) -> Column:
     a, b, c = p[0], F.try_element_at(p, F.lit(2)), F.try_element_at(p, F.lit(3))
     h = F.pow((a - b) / (a + b), F.lit(2))
     round_ = math.pi * (a + b) * (1 + 3 * h / (10 + F.sqrt(4 - 3 * h)))
-    return _case(g, {"circle": 2 * math.pi * a, "square": 8 * a, "rectangle": 4 * (a + b), "ellipse": round_, "cube": 24 * a, "box": 8 * (a + b + c), AREAL: _length(g)})
+    return _case(g, {"circle": 2 * math.pi * a, "square": 8 * a, "rectangle": 4 * (a + b), "ellipse": round_, "cube": 24 * a, "box": 8 * (a + b + c), AREAL: lambda: _length(g)})
 
 
 @on_geometry
@@ -447,12 +450,12 @@ def centroid_xyz(g) -> Column:
             F.lit(0.0).alias("z"), (signed_area(r) * s).alias("w"),
         )
 
-    by_area = F.flatten(F.transform(g["parts"], lambda rings: F.transform(rings, lambda r, i: ring_moments(r, F.when(i == 0, 1.0).otherwise(-1.0)))))
-    by_length = F.transform(edges(g), lambda e: F.struct(
+    by_area = lambda: F.flatten(F.transform(g["parts"], lambda rings: F.transform(rings, lambda r, i: ring_moments(r, F.when(i == 0, 1.0).otherwise(-1.0)))))
+    by_length = lambda: F.transform(edges(g), lambda e: F.struct(
         ((e["a"]["x"] + e["b"]["x"]) / 2 * straight(e["a"], e["b"])).alias("x"), ((e["a"]["y"] + e["b"]["y"]) / 2 * straight(e["a"], e["b"])).alias("y"),
         ((_z(e["a"]) + _z(e["b"])) / 2 * straight(e["a"], e["b"])).alias("z"), straight(e["a"], e["b"]).alias("w")))
-    by_point = F.transform(vertices(g), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), _z(p).alias("z"), F.lit(1.0).alias("w")))
-    return _case(g, {(*CENTERED, "point"): center(g), AREAL: weighted(by_area), LINEAR: weighted(by_length)}, weighted(by_point))
+    by_point = lambda: F.transform(vertices(g), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), _z(p).alias("z"), F.lit(1.0).alias("w")))
+    return _case(g, {(*CENTERED, "point"): lambda: center(g), AREAL: lambda: weighted(by_area()), LINEAR: lambda: weighted(by_length())}, lambda: weighted(by_point()))
 
 
 def _as_point(g: Column, p: Column) -> Column:
@@ -553,11 +556,11 @@ def topolygon(g, n: int = SIDES) -> Column:
 def _topolygon(g, n: int) -> Column:
     c = center(g)
     a, b = g["params"][0], F.coalesce(F.try_element_at(g["params"], F.lit(2)), g["params"][0])
-    corners = F.array(*[F.struct((c["x"] + a * sx).alias("x"), (c["y"] + b * sy).alias("y"), c["z"].alias("z")) for sx, sy in ((-1, -1), (1, -1), (1, 1), (-1, 1), (-1, -1))])
-    turns = F.transform(F.sequence(F.lit(0), F.lit(n)), lambda k: F.struct(F.cos(2 * math.pi / n * (k % n)).alias("c"), F.sin(2 * math.pi / n * (k % n)).alias("s")))
-    round_ = F.transform(turns, lambda t: F.struct((c["x"] + a * t["c"]).alias("x"), (c["y"] + b * t["s"]).alias("y"), c["z"].alias("z")))
+    corners = lambda: F.array(*[F.struct((c["x"] + a * sx).alias("x"), (c["y"] + b * sy).alias("y"), c["z"].alias("z")) for sx, sy in ((-1, -1), (1, -1), (1, 1), (-1, 1), (-1, -1))])
+    turns = lambda: F.transform(F.sequence(F.lit(0), F.lit(n)), lambda k: F.struct(F.cos(2 * math.pi / n * (k % n)).alias("c"), F.sin(2 * math.pi / n * (k % n)).alias("s")))
+    round_ = lambda: F.transform(turns(), lambda t: F.struct((c["x"] + a * t["c"]).alias("x"), (c["y"] + b * t["s"]).alias("y"), c["z"].alias("z")))
     return _case(g, {
-        ("square", "rectangle"): _like(g, "polygon", F.array(F.array(corners))), ("circle", "ellipse"): _like(g, "polygon", F.array(F.array(round_))), "triangle": _like(g, "polygon", g["parts"]),
+        ("square", "rectangle"): lambda: _like(g, "polygon", F.array(F.array(corners()))), ("circle", "ellipse"): lambda: _like(g, "polygon", F.array(F.array(round_()))), "triangle": lambda: _like(g, "polygon", g["parts"]),
     }, g)
 
 
@@ -589,17 +592,17 @@ def holds_point(g, p: Column, strict: bool = True) -> Column:
     third = F.coalesce(F.try_element_at(s, F.lit(3)), b)
     dx, dy, dz = F.abs(p["x"] - c["x"]), F.abs(p["y"] - c["y"]), F.abs(_z(p) - _z(c))
     less = (lambda x, y: x < y) if strict else (lambda x, y: x <= y)
-    border = F.exists(rings_of(g), lambda r: _on_ring(p, r))
-    inside = F.exists(g["parts"], lambda rings: _in_ring(p, rings[0]) & ~F.exists(F.slice(rings, 2, F.greatest(F.size(rings) - 1, F.lit(0))), lambda r: _in_ring(p, r)))
+    border = lambda: F.exists(rings_of(g), lambda r: _on_ring(p, r))
+    inside = lambda: F.exists(g["parts"], lambda rings: _in_ring(p, rings[0]) & ~F.exists(F.slice(rings, 2, F.greatest(F.size(rings) - 1, F.lit(0))), lambda r: _in_ring(p, r)))
     square_ = lambda x: x * x
     top = _z(c) + b / 2 - _z(p)  # of a cone, down from its tip
     return _case(g, {
-        "circle": less(square_(dx) + square_(dy), square_(a)), "square": less(dx, a) & less(dy, a), "rectangle": less(dx, a) & less(dy, b), "ellipse": less(square_(dx / a) + square_(dy / b), F.lit(1.0)),
-        "sphere": less(square_(dx) + square_(dy) + square_(dz), square_(a)), "cube": less(dx, a) & less(dy, a) & less(dz, a), "box": less(dx, a) & less(dy, b) & less(dz, third),
-        "ellipsoid": less(square_(dx / a) + square_(dy / b) + square_(dz / third), F.lit(1.0)), "cylinder": less(square_(dx) + square_(dy), square_(a)) & less(dz, b / 2),
-        "cone": less(dz, b / 2) & less(F.sqrt(square_(dx) + square_(dy)), a * top / b),
-        AREAL: (inside & ~border) if strict else (inside | border), "point": (dx <= EPSILON) & (dy <= EPSILON) & (dz <= EPSILON) & F.lit(not strict),
-        LINEAR: border if not strict else F.lit(False), "multipoint": F.exists(vertices(g), lambda q: straight(p, q) <= EPSILON) & F.lit(not strict),
+        "circle": lambda: less(square_(dx) + square_(dy), square_(a)), "square": lambda: less(dx, a) & less(dy, a), "rectangle": lambda: less(dx, a) & less(dy, b), "ellipse": lambda: less(square_(dx / a) + square_(dy / b), F.lit(1.0)),
+        "sphere": lambda: less(square_(dx) + square_(dy) + square_(dz), square_(a)), "cube": lambda: less(dx, a) & less(dy, a) & less(dz, a), "box": lambda: less(dx, a) & less(dy, b) & less(dz, third),
+        "ellipsoid": lambda: less(square_(dx / a) + square_(dy / b) + square_(dz / third), F.lit(1.0)), "cylinder": lambda: less(square_(dx) + square_(dy), square_(a)) & less(dz, b / 2),
+        "cone": lambda: less(dz, b / 2) & less(F.sqrt(square_(dx) + square_(dy)), a * top / b),
+        AREAL: lambda: (inside() & ~border()) if strict else (inside() | border()), "point": lambda: (dx <= EPSILON) & (dy <= EPSILON) & (dz <= EPSILON) & F.lit(not strict),
+        LINEAR: border if not strict else F.lit(False), "multipoint": lambda: F.exists(vertices(g), lambda q: straight(p, q) <= EPSILON) & F.lit(not strict),
     }, F.lit(False))
 
 
@@ -776,23 +779,23 @@ def numsegments(g) -> Column:
 
 def numlines(g) -> Column:
     g = col(g)
-    return _case(g, {LINEAR: F.size(g["parts"])}, F.lit(0))
+    return _case(g, {LINEAR: lambda: F.size(g["parts"])}, F.lit(0))
 
 
 def numrings(g) -> Column:
     g = col(g)
-    return _case(g, {AREAL: F.size(rings_of(g))}, F.lit(0))
+    return _case(g, {AREAL: lambda: F.size(rings_of(g))}, F.lit(0))
 
 
 @on_geometry
 def numinnerrings(g) -> Column:
     g = col(g)
-    return _case(g, {AREAL: F.size(rings_of(g)) - F.size(g["parts"])}, F.lit(0))
+    return _case(g, {AREAL: lambda: F.size(rings_of(g)) - F.size(g["parts"])}, F.lit(0))
 
 
 def numpolygons(g) -> Column:
     g = col(g)
-    return _case(g, {AREAL: F.size(g["parts"])}, F.lit(0))
+    return _case(g, {AREAL: lambda: F.size(g["parts"])}, F.lit(0))
 
 
 @on_geometry
@@ -831,9 +834,9 @@ def isvalid(g) -> Column:
     """Rings are closed, have four vertices or more, and don't cross themselves; lines have two points."""
     g = col(g)
     ring = lambda r: (F.size(r) >= 4) & (F.element_at(r, 1) == F.element_at(r, -1))
-    rings_ok = F.forall(rings_of(g), lambda r: ring(r) & (F.abs(signed_area(r)) > 0))
-    simple = F.forall(g["parts"], lambda rings: F.size(rings) >= 1) & issimple(g)
-    return _case(g, {AREAL: rings_ok & simple, LINEAR: F.forall(rings_of(g), lambda r: F.size(r) >= 2)}, F.size(vertices(g)) > 0)
+    rings_ok = lambda: F.forall(rings_of(g), lambda r: ring(r) & (F.abs(signed_area(r)) > 0))
+    simple = lambda: F.forall(g["parts"], lambda rings: F.size(rings) >= 1) & issimple(g)
+    return _case(g, {AREAL: lambda: rings_ok() & simple(), LINEAR: lambda: F.forall(rings_of(g), lambda r: F.size(r) >= 2)}, lambda: F.size(vertices(g)) > 0)
 
 
 @on_geometry
@@ -1081,10 +1084,9 @@ def closestpoint(p: Column, g) -> Column:
     """The point of a shape's border nearest to p; of a circle, toward p."""
     g = col(g)
     c, r = center(g), g["params"][0]
-    toward = between(c, p, F.coalesce(F.try_divide(r, straight(c, p)), F.lit(0.0)))
-    flat = topolygon(g)
-    found = F.array_min(F.transform(edges(flat), lambda e: F.struct(_to_segment(p, e).alias("d"), between(e["a"], e["b"], _project(p, e)).alias("q"))))["q"]
-    nearest = F.array_min(F.transform(vertices(g), lambda q: F.struct(straight(p, q).alias("d"), q.alias("q"))))["q"]
+    toward = lambda: between(c, p, F.coalesce(F.try_divide(r, straight(c, p)), F.lit(0.0)))
+    found = lambda: F.array_min(F.transform(edges(topolygon(g)), lambda e: F.struct(_to_segment(p, e).alias("d"), between(e["a"], e["b"], _project(p, e)).alias("q"))))["q"]
+    nearest = lambda: F.array_min(F.transform(vertices(g), lambda q: F.struct(straight(p, q).alias("d"), q.alias("q"))))["q"]
     return _as_point(g, _case(g, {"circle": toward, ("point", "multipoint"): nearest}, found))
 
 
@@ -1147,8 +1149,8 @@ def geojson(g, most: int = 3000, samples: int = SIDES) -> Column:
     rings = lambda rs: seq(F.transform(rs, ring))
     names = {"point": "Point", "line": "LineString", "linestring": "LineString", "multipoint": "MultiPoint", "multilinestring": "MultiLineString", "polygon": "Polygon", "triangle": "Polygon", "multipolygon": "MultiPolygon"}
     body = _case(g, {
-        ("point", *SOLIDS): pt(center(g)), ("line", "linestring", "multipoint"): ring(g["parts"][0][0]), "multilinestring": seq(F.transform(g["parts"], lambda rs: ring(rs[0]))),
-        ("polygon", "triangle"): rings(g["parts"][0]), "multipolygon": seq(F.transform(g["parts"], rings)),
+        ("point", *SOLIDS): lambda: pt(center(g)), ("line", "linestring", "multipoint"): lambda: ring(g["parts"][0][0]), "multilinestring": lambda: seq(F.transform(g["parts"], lambda rs: ring(rs[0]))),
+        ("polygon", "triangle"): lambda: rings(g["parts"][0]), "multipolygon": lambda: seq(F.transform(g["parts"], rings)),
     })
     name = _case(g, {k: F.lit(v) for k, v in names.items()}, F.lit("Point"))
     return F.concat(F.lit('{"type":"'), name, F.lit('","coordinates":'), body, F.lit("}"))
@@ -1170,8 +1172,8 @@ def wkt(g) -> Column:
     ring = lambda r: seq(F.transform(r, pt))
     rings = lambda rs: seq(F.transform(rs, ring))
     body = _case(g, {
-        ("point", *SOLIDS): F.concat(F.lit("("), pt(center(g)), F.lit(")")), ("line", "linestring", "multipoint"): ring(g["parts"][0][0]), "multilinestring": seq(F.transform(g["parts"], lambda rs: ring(rs[0]))),
-        ("polygon", "triangle"): rings(g["parts"][0]), "multipolygon": seq(F.transform(g["parts"], rings)),
+        ("point", *SOLIDS): lambda: F.concat(F.lit("("), pt(center(g)), F.lit(")")), ("line", "linestring", "multipoint"): lambda: ring(g["parts"][0][0]), "multilinestring": lambda: seq(F.transform(g["parts"], lambda rs: ring(rs[0]))),
+        ("polygon", "triangle"): lambda: rings(g["parts"][0]), "multipolygon": lambda: seq(F.transform(g["parts"], rings)),
     })
     name = _case(g, {"line": F.lit("LINESTRING"), "triangle": F.lit("POLYGON"), SOLIDS: F.lit("POINT")}, F.upper(g["gtype"]))
     return F.concat(name, body)

@@ -102,11 +102,14 @@ def geo_transforms(spark, sf):
     f"""SELECT g.id AS a, h.id AS b FROM {_S} g JOIN {_S} h ON g.id < h.id WHERE abs(g.x - h.x) <= g.a + h.a AND abs(g.y - h.y) <= g.b + h.b""",
 )
 def geo_intersect(spark, sf):
-    """Pairs of rectangles that meet: candidates by bins of x, then the shapes."""
+    """Pairs of rectangles that meet: candidates by bins of x and by bounds of y, then the shapes, which are made after the join."""
     s = _suppliers(spark, sf)
-    side = lambda n: s.select(F.col("id").alias(n), geo.rectangle("x", "y", "a", "b").alias(f"g_{n}"), (F.col("x") - F.col("a") - 0.001).alias(f"lo_{n}"), (F.col("x") + F.col("a") + 0.001).alias(f"hi_{n}"))
+    near = 0.001
+    side = lambda n: s.select(F.col("id").alias(n), *[F.col(c).alias(f"{c}_{n}") for c in "xyab"], (F.col("x") - F.col("a") - near).alias(f"lo_{n}"), (F.col("x") + F.col("a") + near).alias(f"hi_{n}"))
     pairs = joins.overlap_join(side("a"), side("b"), "lo_a", "hi_a", "lo_b", "hi_b", 10.0).where("a < b")
-    return pairs.where(geo.intersect("g_a", "g_b")).select("a", "b")
+    pairs = pairs.where(F.abs(F.col("y_a") - F.col("y_b")) <= F.col("b_a") + F.col("b_b") + near)
+    shape = lambda n: geo.rectangle(f"x_{n}", f"y_{n}", f"a_{n}", f"b_{n}")
+    return pairs.where(geo.intersect(shape("a"), shape("b"))).select("a", "b")
 
 
 @register(
