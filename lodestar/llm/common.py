@@ -51,6 +51,15 @@ def shared_table(df: DataFrame) -> DataFrame:
     return written
 
 
+#: Keys that are sent to every task, of a few dozen bytes each; more are joined by a shuffle.
+MAX_BROADCAST_ROWS = 200_000
+
+
+def few(keys: DataFrame, most: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """A written frame of keys, marked for a broadcast if it has no more than so many rows."""
+    return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys
+
+
 def text_key(doc_id: str, text: str) -> Column:
     """64-bit key of a row's id and whole text; equal rows share it."""
     return F.xxhash64(F.col(doc_id), F.col(text))

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import checkpointed, shared_table, sliced
+from lodestar.llm.common import checkpointed, few, shared_table, sliced
 from lodestar.llm.components import connected_components
 
 THRESHOLD = 3
@@ -176,15 +176,19 @@ def _compare(threshold: int):
     return run
 
 
-def link_fingerprints(prints: DataFrame, threshold: int = THRESHOLD, home_block: int = HOME_BLOCK, all_block: int = ALL_BLOCK) -> DataFrame:
+def link_fingerprints(prints: DataFrame, threshold: int = THRESHOLD, home_block: int = HOME_BLOCK, all_block: int = ALL_BLOCK, beyond: int = 0) -> DataFrame:
     """(u, v) of distinct fingerprints such that those within the threshold are joined, directly or through others.
 
+    beyond: pairs up to so many bits are joined too, those of them that meet at an
+    anchor, as halves that differ in one bit at most do.
+
     prints: distinct ``fp``.  An anchor that very many fingerprints share is
     dealt out: its home fingerprints in blocks, each against all blocks of its
     fingerprints, so that no task takes a whole anchor and no pair is lost.
     """
     if not 0 <= threshold <= THRESHOLD:
         raise ValueError(f"anchors cover thresholds up to {THRESHOLD}")
+    threshold = max(threshold, beyond)
     rows = prints.select("fp").mapInArrow(_replicas, "anchor long, fp long, home boolean")
     sizes = rows.groupBy("anchor").agg(F.count("*").alias("n"), F.count_if("home").alias("h"))
     hot = sizes.where((F.col("h") > home_block) | ((F.col("h") > 0) & (F.col("n") > all_block))).select(
@@ -233,8 +237,10 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thre
     return prints.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Seeds of the fingerprints of single words, which lead to more candidates; their links hold if the texts are alike.
-WORD_SEEDS = (1, 2, 3)
+#: Seeds of the fingerprints of single words, which lead to more candidates; their links hold if the texts are alike.  More seeds find more, and each costs its own exchange.
+WORD_SEEDS = (1, 2)
+#: Bits up to which such fingerprints are candidates, where halves of them differ in one bit at most.
+CANDIDATE_BITS = 10
 #: Words of a shingle, and shared part of all shingles, at which two texts are alike.
 ALIKE_WORDS, ALIKE = 5, 0.8
 
@@ -302,7 +308,7 @@ def alike_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thr
     for k in range(1 + len(WORD_SEEDS)):
         own = prints.select("row", F.col(f"fp_{k}").alias("fp"))
         nodes = checkpointed(own.groupBy("fp").agg(F.min("row").alias("first")))
-        links = link_fingerprints(nodes, threshold)
+        links = link_fingerprints(nodes, threshold, beyond=CANDIDATE_BITS if k else 0)
         within = own.join(nodes, "fp").where("row > first").select(F.col("row").alias("u"), F.col("first").alias("v"))
         first = lambda c: nodes.select(F.col("fp").alias(c), F.col("first").alias(f"first_{c}"))
         across = links.join(first("u"), "u").join(first("v"), "v").select(F.greatest("first_u", "first_v").alias("u"), F.least("first_u", "first_v").alias("v"))
@@ -310,7 +316,9 @@ def alike_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thr
     sure, *others = every
     candidates = functools.reduce(DataFrame.unionByName, others).distinct().join(sure, ["u", "v"], "left_anti")
     candidates = checkpointed(candidates)
-    texts = rows.dropDuplicates(["row"]) if _repeats(rows.select(F.col("row").alias("id"))) else rows
+    needed = checkpointed(candidates.select(F.col("u").alias("row")).unionByName(candidates.select(F.col("v").alias("row"))).distinct())
+    texts = rows.join(few(needed), "row", "left_semi")
+    texts = shared_table(texts.dropDuplicates(["row"]) if _repeats(rows.select(F.col("row").alias("id"))) else texts)
     of = lambda c, name: texts.select(F.col("row").alias(c), F.col("text").alias(name))
     held = candidates.join(of("u", "text"), "u").join(of("v", "other"), "v").select("u", "v", "text", "other")
     return sure.unionByName(held.mapInArrow(_alike(similarity), sure.schema))
@@ -332,6 +340,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresh
     """
     links = alike_links(docs, doc_id, text, threshold, similarity)
     gone = connected_components(links).where("node > label").select(F.col("node.id").alias("__id"), F.col("node.key").alias("__gone"))
+    gone = few(checkpointed(gone))
     name = next(c for k in range(len(docs.columns) + 1) if (c := f"__key_{k}") not in docs.columns)
     keyed = docs.withColumn(name, F.xxhash64(f"`{doc_id}`", f"`{text}`"))
     same = (keyed[name] == gone["__gone"]) & keyed[doc_id].eqNullSafe(gone["__id"])
