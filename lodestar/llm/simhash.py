@@ -38,7 +38,7 @@ MAX_BROADCAST_ANCHORS = 100_000
 _CAPITALS = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
-def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
+def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS, seed: int = SEED) -> int:
     """64-bit SimHash of a text's word shingles; 0 for a text without a word."""
     words = (text or "").encode().translate(_CAPITALS).split()
     if not words:
@@ -49,7 +49,7 @@ def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
     starts = [0, *ends[: n - 1].tolist()]
     stops = (ends[shingle_words - 1 :] - 1).tolist() if len(words) >= shingle_words else [len(joined)]
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)), dtype=np.uint64, count=n)
+    hashes = np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, stops, strict=True)), dtype=np.uint64, count=n)
     total = np.zeros(64, dtype=np.int64)
     for k in range(0, n, 65_536):
         bits = np.unpackbits(hashes[k : k + 65_536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
@@ -237,29 +237,17 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thre
     return prints.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Seeds of the fingerprints of single words, which lead to more candidates; their links hold if the texts are alike.  More seeds find more, and each costs its own exchange.
-WORD_SEEDS = (1, 2)
+#: Seeds of the fingerprints of pairs of words, which lead to more candidates; their links hold if the texts are alike.
+PAIR_SEEDS = (1, 2, 3)
 #: Bits up to which such fingerprints are candidates, where halves of them differ in one bit at most.
 CANDIDATE_BITS = 10
 #: Words of a shingle, and shared part of all shingles, at which two texts are alike.
 ALIKE_WORDS, ALIKE = 5, 0.8
 
 
-def word_fingerprints(text: str | None, seeds: tuple[int, ...] = WORD_SEEDS) -> list[int]:
-    """64-bit SimHashes of a text's words, each counted as often as it stands there."""
-    counts = Counter((text or "").encode().translate(_CAPITALS).split())
-    if not counts:
-        return [0] * len(seeds)
-    weights = np.fromiter(counts.values(), dtype=np.int64, count=len(counts))
-    n, out = int(weights.sum()), []
-    for seed in seeds:
-        hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in counts), dtype=np.uint64, count=len(counts))
-        total = np.zeros(64, dtype=np.int64)
-        for k in range(0, len(counts), 65_536):
-            bits = np.unpackbits(hashes[k : k + 65_536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-            total += weights[k : k + 65_536] @ bits
-        out.append(int(np.packbits(total * 2 > n).view(">u8")[0]))
-    return out
+def pair_fingerprints(text: str | None) -> list[int]:
+    """64-bit SimHashes of a text's pairs of words, one for each seed."""
+    return [fingerprint(text, 2, seed) for seed in PAIR_SEEDS]
 
 
 def shingles(text: str | None, size: int = ALIKE_WORDS) -> frozenset[int]:
@@ -268,10 +256,10 @@ def shingles(text: str | None, size: int = ALIKE_WORDS) -> frozenset[int]:
 
 
 def _row_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["row", "fp_0", *(f"fp_{k + 1}" for k in range(len(WORD_SEEDS)))]
+    names = ["row", "fp_0", *(f"fp_{k + 1}" for k in range(len(PAIR_SEEDS)))]
     for batch in sliced(batches):
-        made = [[fingerprint(t), *word_fingerprints(t)] for t in batch.column(1).to_pylist()]
-        prints = np.array(made, dtype=np.uint64).reshape(batch.num_rows, 1 + len(WORD_SEEDS)).view(np.int64)
+        made = [[fingerprint(t), *pair_fingerprints(t)] for t in batch.column(1).to_pylist()]
+        prints = np.array(made, dtype=np.uint64).reshape(batch.num_rows, 1 + len(PAIR_SEEDS)).view(np.int64)
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(c)) for c in prints.T)], names=names)
 
 
@@ -294,7 +282,7 @@ def _alike(similarity: float):
 
 
 def alike_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, similarity: float = ALIKE) -> DataFrame:
-    """(u, v) of rows, as (none, id, key), whose contract fingerprints link, and of those that word fingerprints bring together and whose texts are alike.
+    """(u, v) of rows, as (none, id, key), whose contract fingerprints link, and of those that other fingerprints bring together and whose texts are alike.
 
     Of the rows of one fingerprint each is held against the least, and of two that
     link the least against the least: no group is expanded into its pairs.
@@ -302,10 +290,10 @@ def alike_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thr
     kind = docs.schema[doc_id].dataType.simpleString()
     row = F.struct(F.col(f"`{doc_id}`").isNull().alias("none"), F.col(f"`{doc_id}`").alias("id"), F.xxhash64(f"`{doc_id}`", f"`{text}`").alias("key"))
     rows = docs.select(row.alias("row"), F.col(f"`{text}`").alias("text"))
-    names = ", ".join(f"fp_{k} long" for k in range(1 + len(WORD_SEEDS)))
+    names = ", ".join(f"fp_{k} long" for k in range(1 + len(PAIR_SEEDS)))
     prints = shared_table(rows.mapInArrow(_row_prints, f"row struct<none:boolean,id:{kind},key:bigint>, {names}").distinct())
     every = []
-    for k in range(1 + len(WORD_SEEDS)):
+    for k in range(1 + len(PAIR_SEEDS)):
         own = prints.select("row", F.col(f"fp_{k}").alias("fp"))
         nodes = checkpointed(own.groupBy("fp").agg(F.min("row").alias("first")))
         links = link_fingerprints(nodes, threshold, beyond=CANDIDATE_BITS if k else 0)
@@ -331,8 +319,8 @@ def _repeats(ids: DataFrame) -> bool:
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, similarity: float = ALIKE) -> DataFrame:
     """One row of each group of near duplicates, the one of its smallest id, with all its columns.
 
-    Two rows are near duplicates if their fingerprints link, or if fingerprints of
-    their words do and their texts share so much of their five-word shingles.  Of
+    Two rows are near duplicates if their fingerprints link, or if those of
+    pairs of words do and their texts share so much of their five-word shingles.  Of
     rows that share the smallest id the one of the smallest hash stays, and of a
     group without ids too: a group keeps one row, and no row goes for another group's
     sake.  Null and empty texts are one group; very long texts are read whole; an

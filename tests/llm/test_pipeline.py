@@ -28,7 +28,7 @@ def _clean(rows):
 
 
 def _one_of_each(texts):
-    prints = {d: [simhash.fingerprint(t), *simhash.word_fingerprints(t)] for d, t in texts.items()}
+    prints = {d: [simhash.fingerprint(t), *simhash.pair_fingerprints(t)] for d, t in texts.items()}
     sets = {d: simhash.shingles(t) for d, t in texts.items()}
     root = {d: d for d in texts}
 
@@ -40,8 +40,9 @@ def _one_of_each(texts):
     for a in texts:
         for b in texts:
             if a < b:
-                near = [(p ^ q).bit_count() <= simhash.THRESHOLD for p, q in zip(prints[a], prints[b], strict=True)]
-                if near[0] or any(near) and len(sets[a] & sets[b]) >= simhash.ALIKE * len(sets[a] | sets[b]):
+                far = [p ^ q for p, q in zip(prints[a], prints[b], strict=True)]
+                meets = [x.bit_count() <= simhash.CANDIDATE_BITS and min((x >> 32).bit_count(), (x & 0xFFFFFFFF).bit_count()) <= 1 for x in far[1:]]
+                if far[0].bit_count() <= simhash.THRESHOLD or any(meets) and len(sets[a] & sets[b]) >= simhash.ALIKE * len(sets[a] | sets[b]):
                     root[max(find(a), find(b))] = min(find(a), find(b))
     return {d: t for d, t in texts.items() if find(d) == d}
 
