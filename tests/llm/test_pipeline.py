@@ -88,7 +88,7 @@ def test_the_pipeline_as_plain_python(spark):
 def test_a_stage_on_odd_rows(spark, name):
     stage = dict(corpus_pipeline.STAGES)[name]
     good = "ten words and a few more words so that it stays here"
-    rows = [(1, good, "en", "s", 9), (1, good, "en", "s", 9), (None, good + " too", None, None, None), (2, None, None, None, None), (3, "", "en", "s", 0), (4, " ".join(f"w{k}" for k in range(100_000)), "en", "s", 9)]
+    rows = [(1, good, "en", "s", 9), (1, good, "en", "s", 9), (None, "another text of more than ten words that no other row in this table is like", None, None, None), (2, None, None, None, None), (3, "", "en", "s", 0), (4, " ".join(f"w{k}" for k in range(100_000)), "en", "s", 9)]
     kinds = "doc_id long, text string, lang string, source string, n_chars int, `row` int, `class` string, kept boolean"
     frame = spark.createDataFrame([(*r, 1, "c", True) for r in rows], kinds)
     made = stage(spark, frame, FOLDER)
