@@ -11,7 +11,6 @@ bit-parallel distance.  Pieces that are frequent fail at the first.
 
 from __future__ import annotations
 
-import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -19,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import sliced, worker_state
+from lodestar.llm.common import sliced
 
 #: Edits allowed, as a share of the item's normalised length.
 ERROR_RATE = 0.1
@@ -186,17 +185,10 @@ def left_out(benchmark: DataFrame, item_id: str = "item_id", text: str = "text")
 def _shipped(spark: SparkSession, block: list[tuple], rate: float):
     """A function that gives a task the block's matcher.
 
-    The block is broadcast; each Python worker builds the matcher once, and keeps one at a time.
+    The block is broadcast; each task builds the matcher anew and lets it go with its end.
     """
-    sent, name = spark.sparkContext.broadcast(block), uuid.uuid4().hex
-
-    def matcher() -> Matcher:
-        state = worker_state("decontaminate")
-        if state.get("name") != name:
-            state.update(name=name, matcher=Matcher(sent.value, rate))
-        return state["matcher"]
-
-    return matcher
+    sent = spark.sparkContext.broadcast(block)
+    return lambda: Matcher(sent.value, rate)
 
 
 def matches(
