@@ -14,6 +14,11 @@ def _r(c, n=6):
     return F.round(c, n)
 
 
+def _polygons(c):
+    """A column that has polygons only."""
+    return geo.known(F.col(c), "multipolygon")
+
+
 def _x(g):
     return geo.center(g)["x"]
 
@@ -196,14 +201,14 @@ def geo_constructions(spark, sf):
     corners = [geo.xyz(x + a * i, y + b * j) for i, j in ((-1, -1), (1, -1), (1, 1), (-1, 1), (0, 0))]
     solid = geo.multipoint(F.array(*[geo.xyz(x + a * i, y + b * j, 3.0 * k) for i in (-1, 1) for j in (-1, 1) for k in (-1, 1)]), dim=3)
     line = geo.line(geo.xyz(x - a, y), geo.xyz(x + a, y))
-    df = _suppliers(spark, sf).select("id", "a", "b", geo.multipoint(F.array(*corners)).alias("g"), solid.alias("s"), geo.topolygon(geo.rectangle("x", "y", "a", "b")).alias("r"), geo.point("x", "y").alias("p"), line.alias("l"))
+    df = kernels.spread(_suppliers(spark, sf)).select("id", "a", "b", geo.multipoint(F.array(*corners)).alias("g"), solid.alias("s"), geo.topolygon(geo.rectangle("x", "y", "a", "b")).alias("r"), geo.point("x", "y").alias("p"), line.alias("l"))
     made = kernels.with_shapes(
         df, circle=kernels.minimumboundingcircle("g"), t=kernels.delaunaytriangles("g"), c=kernels.voronoipolygons("g"), sphere=kernels.minimumboundingsphere("s"), o=kernels.concavehull("g", 100.0),
         disc=kernels.buffer("p", 1.0), square=kernels.buffer("p", 1.0, point="square"), around=kernels.buffer("r", 1.0), mitred=kernels.buffer("r", 1.0, join="miter"), flat=kernels.buffer("l", 1.0, right=1.0, end="flat"))
     return made.select(
-        "id", geo.area(geo.convexhull("g")).alias("hull"), _r(F.col("circle")["params"][0]).alias("radius"), geo.numpolygons("t").alias("triangles"), _r(geo.area("t")).alias("triangle_area"), _r(geo.area("c")).alias("cells"),
-        _r(F.col("sphere")["params"][0]).alias("sphere"), _r(geo.area("o")).alias("outline"), _r(geo.area("disc")).alias("disc"), _r(geo.area("square")).alias("square"), _r(geo.area("around"), 5).alias("around"), _r(geo.area("mitred"), 5).alias("mitred"),
-        _r(geo.area("flat")).alias("flat_line"))
+        "id", geo.area(geo.convexhull(geo.known(F.col("g"), "multipoint"))).alias("hull"), _r(F.col("circle")["params"][0]).alias("radius"), geo.numpolygons(_polygons("t")).alias("triangles"), _r(geo.area(_polygons("t"))).alias("triangle_area"),
+        _r(geo.area(_polygons("c"))).alias("cells"), _r(F.col("sphere")["params"][0]).alias("sphere"), _r(geo.area(_polygons("o"))).alias("outline"), _r(geo.area(_polygons("disc"))).alias("disc"), _r(geo.area(_polygons("square"))).alias("square"),
+        _r(geo.area(_polygons("around")), 5).alias("around"), _r(geo.area(_polygons("mitred")), 5).alias("mitred"), _r(geo.area(_polygons("flat"))).alias("flat_line"))
 
 
 @register(
@@ -228,7 +233,7 @@ def geo_overlay(spark, sf):
     g = geo.rectangle("x", "y", "a", "b")
     df = _suppliers(spark, sf).select("id", g.alias("g"), geo.translate(g, 0.5, 0.25).alias("h"))
     made = kernels.with_shapes(df, common=kernels.intersection("g", "h"), both=kernels.union("g", "h"), rest=kernels.difference("g", "h"), either=kernels.symdifference("g", "h"))
-    return made.select("id", *[_r(geo.area(c)).alias(c) for c in ("common", "both", "rest", "either")])
+    return made.select("id", *[_r(geo.area(_polygons(c))).alias(c) for c in ("common", "both", "rest", "either")])
 
 
 @register(
@@ -243,4 +248,4 @@ def geo_overlay_borders(spark, sf):
     df = _suppliers(spark, sf).select("id", g.alias("g"), at(F.lit(0.0)).alias("same"), at(2 * a).alias("beside"), at(a).alias("along"), geo.rectangle(x, y, 2 * a, 2 * b).alias("large"))
     ways = {"union": kernels.union, "common": kernels.intersection, "rest": kernels.difference}
     made = kernels.with_shapes(df, **{f"{c}_{n}": way("g", c) for c in ("same", "beside", "along") for n, way in ways.items()}, hole=kernels.difference("large", "g"))
-    return made.select("id", *[_r(geo.area(f"{c}_{n}")).alias(f"{c}_{n}") for c in ("same", "beside", "along") for n in ways], _r(geo.area("hole")).alias("hole"))
+    return made.select("id", *[_r(geo.area(_polygons(f"{c}_{n}"))).alias(f"{c}_{n}") for c in ("same", "beside", "along") for n in ways], _r(geo.area(_polygons("hole"))).alias("hole"))
