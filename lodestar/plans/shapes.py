@@ -231,7 +231,7 @@ def geo_hulls(spark, sf):
 def geo_overlay(spark, sf):
     """Union, intersection and differences of a rectangle and itself moved."""
     g = geo.rectangle("x", "y", "a", "b")
-    df = _suppliers(spark, sf).select("id", g.alias("g"), geo.translate(g, 0.5, 0.25).alias("h"))
+    df = kernels.spread(_suppliers(spark, sf)).select("id", g.alias("g"), geo.translate(g, 0.5, 0.25).alias("h"))
     made = kernels.with_shapes(df, common=kernels.intersection("g", "h"), both=kernels.union("g", "h"), rest=kernels.difference("g", "h"), either=kernels.symdifference("g", "h"))
     return made.select("id", *[_r(geo.area(_polygons(c))).alias(c) for c in ("common", "both", "rest", "either")])
 
@@ -245,7 +245,7 @@ def geo_overlay_borders(spark, sf):
     """Rectangles whose borders lie on one another: equal ones, neighbours, one moved along its own side, and one in the middle of another."""
     x, y, a, b = (F.col(c) for c in "xyab")
     g, at = geo.rectangle("x", "y", "a", "b"), lambda dx: geo.rectangle(x + dx, y, a, b)
-    df = _suppliers(spark, sf).select("id", g.alias("g"), at(F.lit(0.0)).alias("same"), at(2 * a).alias("beside"), at(a).alias("along"), geo.rectangle(x, y, 2 * a, 2 * b).alias("large"))
+    df = kernels.spread(_suppliers(spark, sf)).select("id", g.alias("g"), at(F.lit(0.0)).alias("same"), at(2 * a).alias("beside"), at(a).alias("along"), geo.rectangle(x, y, 2 * a, 2 * b).alias("large"))
     ways = {"union": kernels.union, "common": kernels.intersection, "rest": kernels.difference}
     made = kernels.with_shapes(df, **{f"{c}_{n}": way("g", c) for c in ("same", "beside", "along") for n, way in ways.items()}, hole=kernels.difference("large", "g"))
     return made.select("id", *[_r(geo.area(_polygons(f"{c}_{n}"))).alias(f"{c}_{n}") for c in ("same", "beside", "along") for n in ways], _r(geo.area(_polygons("hole"))).alias("hole"))

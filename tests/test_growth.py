@@ -13,7 +13,7 @@ from lodestar.plans import registry, shapes, spatial  # noqa: F401
 FOLDER = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["geo_constructions"])
+@pytest.mark.parametrize("name", ["geo_constructions", "geo_overlay", "geo_overlay_borders"])
 def test_rows_of_a_small_file_are_dealt_over_all_cores(spark, name):
     assert registry.QUERIES[name](spark, FOLDER).rdd.getNumPartitions() >= 48
 
