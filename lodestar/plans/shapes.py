@@ -176,7 +176,8 @@ def geo_geojson(spark, sf):
     line = geo.linestring(F.array(geo.xyz(x, y), geo.xyz(x + a, y + a)))
     multi = geo.multipolygon(F.array(F.array(_ring(x, y, a, a)), F.array(_ring(x + 100, y, a, a))))
     df = _suppliers(spark, sf).select("id", "a", line.alias("line"), multi.alias("multi"), geo.polygon(F.array(_ring(x, y, a, a))).alias("polygon"))
-    read = {c: geo.from_geojson(geo.geojson(c)) for c in ("line", "polygon", "multi")}
+    kinds = {"line": "linestring", "polygon": "polygon", "multi": "multipolygon"}
+    read = {c: geo.from_geojson(geo.geojson(geo.known(F.col(c), kind))) for c, kind in kinds.items()}
     df = df.withColumns({f"{c}_read": g for c, g in read.items()})
     return df.select(
         "id", geo.geotype("line_read").alias("line_kind"), geo.numpoints("line_read").alias("line_points"), geo.geotype("polygon_read").alias("polygon_kind"), geo.area("polygon_read").alias("polygon_area"),

@@ -3,11 +3,15 @@
 import math
 import random
 
+import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from lodestar.functions import geometry as geo
 from lodestar.functions import geometry_kernels as kernels
+from lodestar.operators import joins
 from lodestar.plans import registry, shapes, spatial  # noqa: F401
 
 FOLDER = "/root/testdata/sf0.001"
@@ -37,3 +41,9 @@ def test_shapes_go_through_arrow_whole(spark):
     made = kernels.with_shapes(df, a=kernels.minimumboundingcircle("g"), b=kernels.minimumboundingsphere(geo.point("id", 1, "id")), c=kernels.minimumboundingcircle("g")).orderBy("id").collect()
     assert [r.a is None for r in made] == [True, False, False] and [r.b.parts[0][0][0].z for r in made] == [0.0, 1.0, 2.0]
     assert made[2].a == made[2].c and made[2].a.srid == 7 and made[2].a.params[0] == pytest.approx(2) and made[2].a.parts[0][0][0].z is None
+
+
+def test_a_plan_of_geojson_holds_its_text_once(spark):
+    """The text that is read is a large expression itself; with a copy of it for each use the driver's memory ran out."""
+    df = registry.QUERIES["geo_geojson"](spark, FOLDER)
+    assert len(df._jdf.queryExecution().optimizedPlan().toString()) < 100_000
