@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.session import partitions
 
 #: A range goes to this many bins at most; a longer one goes to bins of a coarser level.
 MAX_BINS = 8
@@ -24,13 +25,23 @@ def _binned(df: DataFrame, begin: str, end: str, width: float) -> DataFrame:
     return leveled.withColumn("__bin", F.explode(F.sequence(F.floor(F.col(begin) / own), F.floor(F.col(end) / own))))
 
 
-def overlap_join(left: DataFrame, right: DataFrame, begin: str, end: str, right_begin: str, right_end: str, width: float) -> DataFrame:
+def _meeting(a: DataFrame, b: DataFrame, keys: list[str], split: int) -> DataFrame:
+    """The join on some keys, over all cores; each key's rows of the left side are dealt to ``split`` groups, and those of the right go to each."""
+    n = partitions(a.sparkSession)
+    a = a.withColumn("__group", F.pmod(F.xxhash64(*[c for c in a.columns if c not in keys]), F.lit(split)))
+    b = b.withColumn("__group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(split - 1).cast("long"))))
+    by = [*keys, "__group"]
+    return a.repartition(n, *by).join(b.repartition(n, *by), by).drop("__group")
+
+
+def overlap_join(left: DataFrame, right: DataFrame, begin: str, end: str, right_begin: str, right_end: str, width: float, split: int = 1) -> DataFrame:
     """Pairs whose ranges [begin, end] and [right_begin, right_end] overlap (ends that only meet don't).
 
     Numbers; ``width`` is a bin's, best near the length of a usual range.  Bins double
     from level to level, and a range is in a few bins of its level however long it
     is.  Levels that the two sides have are few, and each pair of them is joined at
-    the coarser.  Bins that very many ranges share are split as skewed join keys.
+    the coarser.  Where few bins have most ranges, ``split`` deals each to more tasks,
+    for as many copies of the right side.
     """
     a, b = _binned(left, begin, end, width), _binned(right, right_begin, right_end, width)
     levels = a.select("__level").distinct().crossJoin(b.select(F.col("__level").alias("__other")).distinct())  # some dozens of rows
@@ -41,14 +52,19 @@ def overlap_join(left: DataFrame, right: DataFrame, begin: str, end: str, right_
     b = reach(b.withColumnRenamed("__level", "__other"), "__other").select(*right.columns, "__other", "__at", up("__other")).distinct()
     first = F.floor(F.greatest(F.col(begin), F.col(right_begin)) / (F.pow(F.lit(2.0), F.col("__at")) * width))
     met = (F.col(end) > F.col(right_begin)) & (F.col(right_end) > F.col(begin)) & (F.col("__bin") == first) & (F.col("__at") == F.greatest("__level", "__other"))
-    return a.join(b, ["__at", "__bin"]).where(met).select(*left.columns, *right.columns)
+    return _meeting(a, b, ["__at", "__bin"], split).where(met).select(*left.columns, *right.columns)
 
 
-def within_join(left: DataFrame, right: DataFrame, x: str, y: str, right_x: str, right_y: str, radius: float) -> DataFrame:
-    """Pairs of points within a radius, with ``distance``; a grid of cells as wide as the radius."""
+def within_join(left: DataFrame, right: DataFrame, x: str, y: str, right_x: str, right_y: str, radius: float, split: int = 1) -> DataFrame:
+    """Pairs of points within a radius, with ``distance``; a grid of cells as wide as the radius.
+
+    The right side, best the smaller, goes to nine cells; ``split`` as in ``overlap_join``.
+    """
     cell = lambda c, d=0: F.floor(F.col(c) / radius) + d
-    near = F.explode(F.array(*[F.struct(cell(x, i).alias("i"), cell(y, j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    a = left.withColumn("__cell", near)
-    b = right.withColumn("__cell", F.struct(cell(right_x).alias("i"), cell(right_y).alias("j")))
-    distance = F.hypot(F.col(x) - F.col(right_x), F.col(y) - F.col(right_y))
-    return a.join(b, "__cell").withColumn("distance", distance).where(F.col("distance") <= radius).drop("__cell")
+    near = F.explode(F.array(*[F.struct(cell(right_x, i).alias("i"), cell(right_y, j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    a = left.withColumns({"__i": cell(x), "__j": cell(y)})
+    b = right.withColumn("__cell", near).select("*", F.col("__cell.i").alias("__i"), F.col("__cell.j").alias("__j")).drop("__cell")
+    dx, dy = F.col(x) - F.col(right_x), F.col(y) - F.col(right_y)
+    close = dx * dx + dy * dy <= radius * radius * (1 + 1e-9)  # most others are left out before the root is taken
+    pairs = _meeting(a, b, ["__i", "__j"], split).where(close).withColumn("distance", F.hypot(dx, dy))
+    return pairs.where(F.col("distance") <= radius).drop("__i", "__j")

@@ -47,3 +47,18 @@ def test_a_plan_of_geojson_holds_its_text_once(spark):
     """The text that is read is a large expression itself; with a copy of it for each use the driver's memory ran out."""
     df = registry.QUERIES["geo_geojson"](spark, FOLDER)
     assert len(df._jdf.queryExecution().optimizedPlan().toString()) < 100_000
+
+
+def _suppliers(folder, balances):
+    pq.write_table(pa.table({"s_suppkey": list(balances), "s_acctbal": list(balances.values())}), f"{folder}/supplier.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW supplier AS SELECT * FROM '{folder}/supplier.parquet'")
+    return {tuple(row) for row in con.execute(registry.ORACLE_SQL["geo_intersect"]).fetchall()}
+
+
+def test_rectangles_that_just_meet(spark, tmp_path):
+    """Supplier k + 50 lies above k by just their heights, where bounds may round to either side."""
+    rng = random.Random(6)
+    low = {k: rng.randrange(-99_999, 999_999) for k in (m + 100 * i for i in range(40) for m in range(1, 51))}
+    expected = _suppliers(tmp_path, {**{k: v / 100 for k, v in low.items()}, **{k + 50: (v + 20_000 * (2 + k % 5)) / 100 for k, v in low.items()}})
+    assert {tuple(row) for row in registry.QUERIES["geo_intersect"](spark, str(tmp_path)).collect()} == expected
