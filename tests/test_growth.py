@@ -62,3 +62,14 @@ def test_rectangles_that_just_meet(spark, tmp_path):
     low = {k: rng.randrange(-99_999, 999_999) for k in (m + 100 * i for i in range(40) for m in range(1, 51))}
     expected = _suppliers(tmp_path, {**{k: v / 100 for k, v in low.items()}, **{k + 50: (v + 20_000 * (2 + k % 5)) / 100 for k, v in low.items()}})
     assert {tuple(row) for row in registry.QUERIES["geo_intersect"](spark, str(tmp_path)).collect()} == expected
+
+
+def test_points_of_one_cell_are_dealt_to_several_tasks(spark):
+    """Nearness of points that all lie in one cell, and of some beside it, against all pairs; no task has all of them."""
+    rng = random.Random(8)
+    points = lambda n: [(k, rng.uniform(0, 1), rng.choice([0.5, rng.uniform(-4, 4)])) for k in range(n)]
+    a, b = points(300), points(40)
+    made = joins.within_join(spark.createDataFrame(a, "i int, x double, y double"), spark.createDataFrame(b, "j int, p double, q double"), "x", "y", "p", "q", 2.0, split=4)
+    rows = made.withColumn("task", F.spark_partition_id()).collect()
+    assert {(r.i, r.j) for r in rows} == {(i, j) for i, x, y in a for j, p, q in b if math.hypot(x - p, y - q) <= 2.0} and len(rows) == len({(r.i, r.j) for r in rows})
+    assert len({r.task for r in rows}) > 4
