@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import geometry as geo
 from lodestar.functions import geometry_kernels as kernels
+from lodestar.functions import line_kernels as along
 from lodestar.plans.registry import register
 from lodestar.plans.spatial import _LINES, _S, _lines, _suppliers
 
@@ -153,11 +154,13 @@ def geo_centers(spark, sf):
 )
 def geo_midpoints(spark, sf):
     """Points, parts and neighbours along each order's line."""
-    half, near = F.col("half"), F.col("near_points")
-    df = _lines(spark, sf).where(geo.linelength("g") > 0).withColumns({"half": geo.interpolate("g", 0.5), "near_points": geo.knn("g", geo.xyz(25, 30), 2)})
-    return df.select(
-        "id", _r(_x(half), 7).alias("mid_x"), _r(_y(half), 7).alias("mid_y"), _r(geo.linelength(geo.linesubstring("g", 0.25, 0.75)) / geo.linelength("g"), 5).alias("part"),
-        geo.numpoints(near).cast("long").alias("near"), _r(geo.straight(geo.center(near), geo.xyz(25, 30)), 5).alias("nearest"))
+    def measures(lines):
+        half = along.interpolate(lines, 0.5)
+        return {"mid_x": half[0], "mid_y": half[1], "part": along.substring_length(lines, 0.25, 0.75), "total": lines.total, "nearest": along.nearest(lines, 25, 30)}
+
+    lines = _lines(spark, sf).select("id", "g", F.least(geo.numpoints(geo.known(F.col("g"), "linestring")), F.lit(2)).cast("long").alias("near"))
+    made = along.with_measures(lines, "g", ["id", "near"], measures, "mid_x double, mid_y double, part double, total double, nearest double").where("total > 0")
+    return made.select("id", _r("mid_x", 7).alias("mid_x"), _r("mid_y", 7).alias("mid_y"), _r(F.col("part") / F.col("total"), 5).alias("part"), "near", _r("nearest", 5).alias("nearest"))
 
 
 @register("geo_locate", f"SELECT id, round(((id % 10) / 10)::DOUBLE, 6) AS at FROM {_S}")
@@ -222,7 +225,8 @@ def geo_hulls(spark, sf):
     made = kernels.with_shapes(
         df, circle=kernels.minimumboundingcircle("g"), triangles=kernels.delaunaytriangles("g"), cells=kernels.voronoipolygons("g", 0.0, bounds), borders=kernels.voronoilines("g", 0.0, bounds))
     return made.select(
-        "id", _r(geo.area(geo.convexhull("g"))).alias("hull"), _r(F.col("circle")["params"][0]).alias("radius"), _r(geo.area("triangles")).alias("triangles"), _r(geo.area("cells")).alias("cells"), _r(geo.linelength("borders")).alias("borders"))
+        "id", _r(geo.area(geo.convexhull(geo.known(F.col("g"), "linestring")))).alias("hull"), _r(F.col("circle")["params"][0]).alias("radius"), _r(geo.area(_polygons("triangles"))).alias("triangles"),
+        _r(geo.area(_polygons("cells"))).alias("cells"), _r(geo.linelength(geo.known(F.col("borders"), "multilinestring"))).alias("borders"))
 
 
 @register(

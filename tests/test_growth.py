@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import geometry as geo
 from lodestar.functions import geometry_kernels as kernels
+from lodestar.functions import line_kernels as along
 from lodestar.operators import joins
 from lodestar.plans import registry, shapes, spatial  # noqa: F401
 
@@ -73,3 +74,45 @@ def test_points_of_one_cell_are_dealt_to_several_tasks(spark):
     rows = made.withColumn("task", F.spark_partition_id()).collect()
     assert {(r.i, r.j) for r in rows} == {(i, j) for i, x, y in a for j, p, q in b if math.hypot(x - p, y - q) <= 2.0} and len(rows) == len({(r.i, r.j) for r in rows})
     assert len({r.task for r in rows}) > 4
+
+
+def _simple(v):
+    """No two edges meet but neighbours; a closed line's first and last are neighbours."""
+    turn = lambda o, p, q: (p[0] - o[0]) * (q[1] - o[1]) - (p[1] - o[1]) * (q[0] - o[0])
+    on = lambda p, a, b: turn(a, b, p) == 0 and min(a[0], b[0]) <= p[0] <= max(a[0], b[0]) and min(a[1], b[1]) <= p[1] <= max(a[1], b[1])
+    edges = list(zip(v, v[1:], strict=False))
+    for i, (a, b) in enumerate(edges):
+        for j in range(i + 1, len(edges)):
+            c, d = edges[j]
+            touch = on(a, c, d) or on(b, c, d) or on(c, a, b) or on(d, a, b)
+            if turn(a, b, c) * turn(a, b, d) < 0 and turn(c, d, a) * turn(c, d, b) < 0 or touch and j > i + 1 and not (i == 0 and j == len(edges) - 1 and a == d):
+                return False
+    return True
+
+
+def test_measures_of_many_lines_are_those_of_the_functions(spark):
+    """Lines of two to nine points on a coarse grid, so that many touch, cross, close or stand still; some have a z, two are null or in two pieces."""
+    rng = random.Random(11)
+    rows = [(k, [tuple(float(rng.randrange(4)) for _ in "xy") + (rng.choice([None, 1.0]) if k % 3 == 0 else None,) for _ in range(2 + k % 8)]) for k in range(400)]
+    df = spark.createDataFrame(rows, f"id int, v array<{geo.POINT}>").select("id", F.when(F.col("id") != 7, geo.linestring(F.col("v"))).alias("g"))
+    df = df.withColumn("g", F.when(F.col("id") == 9, geo.multilinestring(F.array(geo.vertices("g"), geo.vertices("g")))).otherwise(F.col("g"))).localCheckpoint()
+
+    def measures(lines):
+        half = along.interpolate(lines, 0.5)
+        return {"x": half[0], "z": half[2], "part": along.substring_length(lines, 0.25, 0.75), "at": along.locate(lines, half), "near": along.nearest(lines, 1.2, 2.1), "simple": along.simple(lines)}
+
+    got = along.with_measures(df, "g", ["id"], measures, "x double, z double, part double, at double, near double, simple boolean")
+    g = geo.known(F.col("g"), "linestring", 0)
+    half, p = geo.center(geo.interpolate(g, 0.5)), geo.xyz(1.2, 2.1)
+    flat = df.select("id", half["x"].alias("x"), F.coalesce(half["z"], F.lit(0.0)).alias("z"), geo.linelength(geo.linesubstring(g, 0.25, 0.75)).alias("part"), geo.locatepoint(g, half).alias("at"), geo.straight(geo.center(geo.knn(g, p, 1)), p).alias("near"))
+    mixed = {r[0] for r in rows if len({v[2] is None for v in r[1]}) > 1}  # where the functions have no z between a point with one and a point without
+    own, expected = ({r.id: r[1:] for r in d.collect()} for d in (got, flat))
+    assert own[7] == own[9] == (None,) * 6 and len(own) == len(rows)
+    for k in own.keys() - mixed - {7, 9}:
+        assert [v if v is None else round(v, 9) for v in own[k][:-1]] == [v if v is None else round(v, 9) for v in expected[k]], rows[k]
+    plain = [r for r in rows if r[0] % 3 and r[0] not in (7, 9)]
+    assert [own[k][-1] for k, _ in plain] == [_simple([p[:2] for p in v]) for k, v in plain] and {own[k][-1] for k, _ in plain} == {True, False}
+
+
+def test_lines_of_orders_are_dealt_over_all_cores(spark):
+    assert all(registry.QUERIES[name](spark, FOLDER).rdd.getNumPartitions() >= 48 for name in ("geo_along_lines", "geo_midpoints"))
