@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import checkpointed, few, shared_table, sliced
+from lodestar.llm.common import checkpointed, few, give_back, hold_little, shared_table, sliced
 from lodestar.llm.components import connected_components
 
 THRESHOLD = 3
@@ -97,6 +97,7 @@ def anchors_of(half: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _replicas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hold_little()
     for batch in batches:
         fp = batch.column(0).to_numpy(zero_copy_only=False)
         bits = fp.view(np.uint64)
@@ -105,6 +106,8 @@ def _replicas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(anchor * 2 + which), pa.array(fp[row]), pa.array(home)], names=["anchor", "fp", "home"]
             )
+    batch = None
+    give_back()
 
 
 def _links(home: np.ndarray, others: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
@@ -157,6 +160,7 @@ def _compare(threshold: int):
             u, v = np.concatenate(u or [none]), np.concatenate(v or [none])
             return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
 
+        hold_little()
         for batch in batches:
             key = np.column_stack([batch.column(k).to_numpy() for k in (0, 1, 2)])
             fp = batch.column(3).to_numpy().view(np.uint64)
@@ -172,6 +176,8 @@ def _compare(threshold: int):
                 yield links(key[:cut], fp[:cut], home[:cut])
         if carry is not None and len(carry[0]):
             yield links(*carry)
+        batch = key = fp = home = carry = None
+        give_back()
 
     return run
 
