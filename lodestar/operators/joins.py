@@ -14,6 +14,10 @@ from lodestar.session import partitions
 #: A range goes to this many bins at most; a longer one goes to bins of a coarser level.
 MAX_BINS = 8
 _LEVELS = 60
+#: Pairs of one cell that a task looks at, about; cells of more are split, and there are as many tasks as all cells' pairs need.
+PAIRS = 16_000_000
+#: Tasks of a join at most.
+MAX_TASKS = 20_000
 
 
 def _binned(df: DataFrame, begin: str, end: str, width: float) -> DataFrame:
@@ -58,13 +62,30 @@ def overlap_join(left: DataFrame, right: DataFrame, begin: str, end: str, right_
 def within_join(left: DataFrame, right: DataFrame, x: str, y: str, right_x: str, right_y: str, radius: float, split: int = 1) -> DataFrame:
     """Pairs of points within a radius, with ``distance``; a grid of cells as wide as the radius.
 
-    The right side, best the smaller, goes to nine cells; ``split`` as in ``overlap_join``.
+    The right side, best the smaller, goes to nine cells.  The points of each cell are
+    counted first, as pairs grow with the square of the tables: each cell's left points
+    are dealt to ``split`` groups, more where its pairs are more than PAIRS, the right
+    ones go to each, and the tasks are as many as all pairs need.
     """
     cell = lambda c, d=0: F.floor(F.col(c) / radius) + d
     near = F.explode(F.array(*[F.struct(cell(right_x, i).alias("i"), cell(right_y, j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
     a = left.withColumns({"__i": cell(x), "__j": cell(y)})
     b = right.withColumn("__cell", near).select("*", F.col("__cell.i").alias("__i"), F.col("__cell.j").alias("__j")).drop("__cell")
+    count = lambda df, c: df.groupBy("__i", "__j").agg(F.count("*").cast("double").alias(c))
+    pairs = count(a, "__n").join(count(b, "__m"), ["__i", "__j"]).select("__i", "__j", (F.col("__n") * F.col("__m")).alias("__pairs"))
+    total, most = pairs.agg(F.sum("__pairs"), F.max("__pairs")).first()
+    n = int(min(max(partitions(left.sparkSession), (total or 0) // PAIRS), MAX_TASKS))
+    groups = F.lit(split)
+    if (most or 0) > PAIRS * split:
+        full = pairs.where(F.col("__pairs") > PAIRS * split).select("__i", "__j", F.ceil(F.col("__pairs") / PAIRS).alias("__groups"))
+        a, b = (df.join(full, ["__i", "__j"], "left") for df in (a, b))
+        groups = F.coalesce("__groups", F.lit(split))
+    a = a.withColumn("__group", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), groups)).drop("__groups")
+    b = b.withColumn("__group", F.explode(F.sequence(F.lit(0).cast("long"), groups.cast("long") - 1))).drop("__groups")
+    by = ["__i", "__j", "__group"]
     dx, dy = F.col(x) - F.col(right_x), F.col(y) - F.col(right_y)
-    close = dx * dx + dy * dy <= radius * radius * (1 + 1e-9)  # most others are left out before the root is taken
-    pairs = _meeting(a, b, ["__i", "__j"], split).where(close).withColumn("distance", F.hypot(dx, dy))
-    return pairs.where(F.col("distance") <= radius).drop("__i", "__j")
+    square = dx * dx + dy * dy
+    met = a.repartition(n, *by).join(b.repartition(n, *by), by).where(square <= radius * radius * (1 + 1e-9)).drop(*by)
+    # a root is quick; where squares are too small or too large to be exact, it isn't the distance
+    pairs = met.withColumn("distance", F.when(square.between(1e-280, 1e280), F.sqrt(square)).otherwise(F.hypot(dx, dy)))
+    return pairs.where(F.col("distance") <= radius)

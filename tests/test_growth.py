@@ -116,3 +116,19 @@ def test_measures_of_many_lines_are_those_of_the_functions(spark):
 
 def test_lines_of_orders_are_dealt_over_all_cores(spark):
     assert all(registry.QUERIES[name](spark, FOLDER).rdd.getNumPartitions() >= 48 for name in ("geo_along_lines", "geo_midpoints"))
+
+
+def test_tasks_of_near_points_grow_with_their_pairs(spark, monkeypatch):
+    """Cells of many pairs are split further, others aren't; the result is that of all pairs, also far below and above a usual distance."""
+    monkeypatch.setattr(joins, "PAIRS", 500)
+    rng = random.Random(9)
+    points = lambda n: [(k, rng.uniform(0, 1), rng.uniform(0, 1)) for k in range(n)] + [(n + k, 20.0 + k, 7.0) for k in range(20)]
+    a, b = [*points(600), (-1, 0.5, 1e-200), (-2, 1e200, 0.0)], [*points(60), (-1, 0.5, 0.0)]
+    made = joins.within_join(spark.createDataFrame(a, "i int, x double, y double"), spark.createDataFrame(b, "j int, p double, q double"), "x", "y", "p", "q", 2.0, split=2)
+    rows = made.withColumn("task", F.spark_partition_id()).collect()
+    assert {(r.i, r.j): r.distance for r in rows} == {(i, j): pytest.approx(d, rel=1e-14, abs=0) for i, x, y in a for j, p, q in b if (d := math.hypot(x - p, y - q)) <= 2.0}
+    assert len(rows) == len({(r.i, r.j) for r in rows}) and made.columns == ["i", "x", "y", "j", "p", "q", "distance"]
+    of = [0] * (1 + max(r.task for r in rows))
+    for r in rows:
+        of[r.task] += 1
+    assert max(of) < 6 * 500
