@@ -8,7 +8,7 @@ from lodestar.functions import geometry as geo
 from lodestar.functions import geometry_kernels as kernels
 from lodestar.functions import line_kernels as along
 from lodestar.plans.registry import register
-from lodestar.plans.spatial import _LINES, _S, _lines, _suppliers
+from lodestar.plans.spatial import _LINES, _S, _items, _lines, _suppliers
 
 
 def _r(c, n=6):
@@ -158,8 +158,7 @@ def geo_midpoints(spark, sf):
         half = along.interpolate(lines, 0.5)
         return {"mid_x": half[0], "mid_y": half[1], "part": along.substring_length(lines, 0.25, 0.75), "total": lines.total, "nearest": along.nearest(lines, 25, 30)}
 
-    lines = _lines(spark, sf).select("id", "g", F.least(geo.numpoints(geo.known(F.col("g"), "linestring")), F.lit(2)).cast("long").alias("near"))
-    made = along.with_measures(lines, "g", ["id", "near"], measures, "mid_x double, mid_y double, part double, total double, nearest double").where("total > 0")
+    made = along.of_items(*_items(spark, sf), measures, "mid_x double, mid_y double, part double, total double, nearest double").where("total > 0").withColumn("near", F.least("points", F.lit(2).cast("long")))
     return made.select("id", _r("mid_x", 7).alias("mid_x"), _r("mid_y", 7).alias("mid_y"), _r(F.col("part") / F.col("total"), 5).alias("part"), "near", _r("nearest", 5).alias("nearest"))
 
 

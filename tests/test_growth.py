@@ -132,3 +132,25 @@ def test_tasks_of_near_points_grow_with_their_pairs(spark, monkeypatch):
     for r in rows:
         of[r.task] += 1
     assert max(of) < 6 * 500
+
+
+def test_lines_are_made_of_sorted_items(spark):
+    """Lines of one to nine vertices in many small batches, with repeats, nulls and an id of null, against plain Python; no items are gathered into arrays by Spark."""
+    rng = random.Random(12)
+    rows = [(rng.choice([None, *range(60)]), rng.randrange(9), float(rng.randrange(5)), float(rng.randrange(5))) for _ in range(400)] + [(70, k, float(k), 0.0) for k in range(95)] + [(71, 1, 0.0, 0.0)]
+    expected = {}
+    for i, n, x, y in rows:
+        own = expected.setdefault(i, {})
+        own[n] = min(own.get(n, (x, y)), (x, y))
+    expected = {i: [own[n] for n in sorted(own)] for i, own in expected.items() if len(own) > 1}
+    items = spark.createDataFrame(rows, "id long, n int, x double, y double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        made = {r.id: [(p.x, p.y) for p in r.v] for r in along.as_lines(items, 3, rows=5).collect()}
+        measured = {r.id: (r.points, r.total) for r in along.of_items(items, 3, lambda lines: {"total": lines.total}, "total double", rows=5).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert made == expected
+    assert measured == {i: (len(v), pytest.approx(sum(math.dist(p, q) for p, q in zip(v, v[1:], strict=False)))) for i, v in expected.items()}
+    plan = registry.QUERIES["geo_midpoints"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("Exchange") == 1
