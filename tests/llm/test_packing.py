@@ -1,9 +1,11 @@
 """Packed pieces against the tokenizer's own call, and the shape of their sequences."""
 
+import random
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -70,3 +72,31 @@ def test_pieces_cover_a_document_and_fit_their_class(n):
         assert packing.CAPACITY // (k + 1) < length <= packing.CAPACITY // k
         at += length
     assert at == n
+
+
+def test_white_space_nulls_and_slices_of_a_batch():
+    rng = random.Random(9)
+    odd = ["", None, " ", "<|endoftext|>", "a <|endoftext|>b", "\0"]
+    texts = [*odd, *("".join(rng.choice(["a", "b", "Zé", "漢", "🙂", "7", ".", "'s", " ", " ", " ", "  ", "\n", "\t", "\x1c", "\x85", "\u2028", "\u3000", "\0"][: 11 if n % 2 else 19]) for _ in range(n % 23)) for n in range(900))]
+    tokenizer = Tokenizer.from_file(packing.tokenizer_path())
+    encoder = packing.WordEncoder(packing.tokenizer_path(), max_words=40)
+    batch = pa.array(["left out", *texts, None])
+    got: list = []
+    for first, part in packing.grouped(batch.slice(1, len(texts)), 700):
+        assert first == len(got)
+        got += encoder(part)
+    assert [np.frombuffer(x, dtype="<u4").tolist() for x in got] == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_a_word_is_looked_up_once_for_all_texts_of_a_group():
+    class Counted(dict):
+        n = 0
+
+        def get(self, *a):
+            self.n += 1
+            return super().get(*a)
+
+    encoder = packing.WordEncoder(packing.tokenizer_path())
+    encoder.words = Counted(encoder.words)
+    encoder(pa.array(["one two three " * 1_000 + "end", "two one end"] * 5))
+    assert encoder.words.n <= 8  # 30,065 where each word of each text is
