@@ -53,6 +53,33 @@ def test_a_whole_table_in_small_runs(spark, small):
     assert found(docs) == plain([(r.doc_id, r.text) for r in docs.collect()])
 
 
+def test_a_whole_table_sorted_and_merged_a_few_strings_at_a_time(spark, small, monkeypatch):
+    for name, n in (("STRINGS", 300), ("PARTS", 3), ("LARGEST_RUN", 200_000), ("LARGEST_RANGE", 100_000), ("HOT", 2)):
+        monkeypatch.setattr(suffixes, name, n)
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    assert found(docs) == plain([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_pieces_for_each_byte_do_not_grow_with_the_input():
+    def pieces(size):
+        return suffixes.parts(size, suffixes.RUN_BYTES, suffixes.LARGEST_RUN) * suffixes.parts(size, suffixes.RANGE_BYTES, suffixes.LARGEST_RANGE) / size
+
+    small = pieces(170_000_000)
+    assert all(pieces(size) < 2 * small for size in (860_000_000, 1_700_000_000, 10_200_000_000))  # 58 times for the last where runs and ranges have one size
+
+
+def test_groups_have_whole_ranges():
+    part = np.random.default_rng(5).integers(0, 9, 1_000) ** 2
+    groups = list(suffixes.groups_of(part, 150))
+    assert sorted(np.concatenate(groups).tolist()) == list(range(1_000)) and len(groups) > 3
+    seen: set = set()
+    for g in groups:
+        own = set(part[g].tolist())
+        assert not own & seen and (len(g) <= 150 or len(own) == 1)
+        seen |= own
+    assert not list(suffixes.groups_of(part[:0], 150))
+
+
 @pytest.mark.parametrize("length", [30, 50, 100])
 def test_hot_strings_and_ends_of_passages(spark, small, length):
     rng = random.Random(length)
